@@ -133,30 +133,38 @@ def incidence(texts: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFr
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(col, cls, n): one row per document and composite n-gram."""
+    """(col, cls): one row per document and composite n-gram; copies within a task are dropped."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            grams = batch.column(2)
+            cls, grams = batch.column(0).to_numpy(), batch.column(1)
             flat, ends = grams.values.to_numpy(zero_copy_only=False).view(np.uint64), grams.offsets.to_numpy()
-            if not len(batch):
-                continue
-            cols = [columns(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], ["col", "cls", "n"])
+            fresh = []
+            for i, c in enumerate(cls.tolist()):
+                if c not in seen:
+                    seen.add(c)
+                    fresh.append(i)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if fresh:
+                cols = np.concatenate([columns(flat[ends[i] : ends[i + 1]]) for i in fresh])
+                yield pa.RecordBatch.from_arrays([pa.array(cols.view(np.int64)), pa.array(np.repeat(cls[fresh], BANDS))], ["col", "cls"])
 
-    return docs.select("cls", "n", "grams").mapInArrow(rows, "col bigint, cls bigint, n int")
+    return docs.select("cls", "grams").mapInArrow(rows, "col bigint, cls bigint")
 
 
-def product(cells: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, shared): pairs of rows, a < b, with the number of columns both have, kept if the size
-    of the smaller is at least `threshold` of the larger. Copies of a row are dropped before the
-    shuffle. A block of more than BLOCK rows is cut into a grid of pieces that go to different tasks."""
-    members = cells.groupBy("col").agg(F.collect_set(F.struct("cls", "n")).alias("r")).where("size(r) > 1").select(F.array_sort("r").alias("r"))
-    pieces = members.select(F.transform(F.sequence(F.lit(0), F.floor((F.size("r") - 1) / BLOCK).cast("int")), lambda i: F.slice("r", i * BLOCK + 1, F.lit(BLOCK))).alias("p"))
-    one = pieces.where("size(p) = 1").select(F.col("p")[0].alias("l"), F.col("p")[0].alias("r"))
-    many = pieces.where("size(p) > 1").select("p", F.posexplode("p").alias("i", "l")).select("l", "i", F.explode(F.expr("slice(p, i + 1, size(p))")).alias("r")).select("l", "r").repartition(F.xxhash64("l", "r"))
-    pairs = one.unionByName(many).select(F.explode("l").alias("x"), "r").select("x", F.explode("r").alias("y")).where(f"x.cls < y.cls and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)")
-    return pairs.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count("*").alias("shared"))
+def product(cells: DataFrame) -> DataFrame:
+    """(a, b, shared): pairs of rows, a < b, with the number of columns both have.
+
+    One shuffle of the cells by column; most columns have one row and end there. A block of more
+    than BLOCK rows is cut into a grid of pieces whose products go to different tasks."""
+    members = cells.repartition("col").groupBy("col").agg(F.collect_set("cls").alias("r")).where("size(r) > 1").select(F.array_sort("r").alias("r")).persist(StorageLevel.MEMORY_AND_DISK)
+    small = members.where(f"size(r) <= {BLOCK}").select(F.col("r").alias("l"), "r")
+    cut_up = F.transform(F.sequence(F.lit(0), F.floor((F.size("r") - 1) / BLOCK).cast("int")), lambda i: F.slice("r", i * BLOCK + 1, F.lit(BLOCK)))
+    large = members.where(f"size(r) > {BLOCK}").select(cut_up.alias("p")).select("p", F.posexplode("p").alias("i", "l")).select("l", F.explode(F.expr("slice(p, i + 1, size(p))")).alias("r")).repartition(F.xxhash64("l", "r"))
+    pairs = small.unionByName(large).select(F.explode("l").alias("a"), "r").select("a", F.explode("r").alias("b")).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def linked_pairs(docs: DataFrame, threshold: float) -> DataFrame:
@@ -167,7 +175,8 @@ def linked_pairs(docs: DataFrame, threshold: float) -> DataFrame:
     need = F.ceil(F.lit(threshold) / F.lit(1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-9)
     lacks = lambda s, o: sum((F.bit_count(F.col(f"{s}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{o}_{m}")))) for m in maps), F.lit(0))
     bound = F.least(F.col("a_n") - lacks("a", "b"), F.col("b_n") - lacks("b", "a"))
-    near = cut(product(blocks(docs), threshold).select("a", "b").join(side("a"), "a").join(side("b"), "b").where(bound >= need).select("a", "b", need.cast("int").alias("need")))
+    sized = F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n")
+    near = cut(product(blocks(docs)).select("a", "b").join(side("a"), "a").join(side("b"), "b").where(sized & (bound >= need)).select("a", "b", need.cast("int").alias("need")))
     ends = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
     grams = docs.select("cls", "grams").join(ends, "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams"))
     both = near.join(grams.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b")
