@@ -14,11 +14,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .looks import common_form
 from .pairs import BY_WORD
 
@@ -27,29 +29,42 @@ RANKED = 50_000  # words of the corpus that have a rank of their own; rarer word
 RATED = 50_000  # rated documents used to calibrate, at most
 LEAST_WORDS = 60
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-SENTENCE = re.compile(r"(?<=[.!?।])[)\"'”’\]]*\s+|[\n\f]+")
-LATIN = re.compile(r"[^\W\d_]")
+ENGLISH = frozenset(w for w, of in BY_WORD.items() if of == {"en"})
+OTHERS = frozenset(w for w, of in BY_WORD.items() if "en" not in of)
+ELSEWHERE = re.compile("[\u0250-\u1dff\u2c00-\uffff]")  # scripts other than Latin
 
 
 def sentences(text: str) -> list[list[str]]:
-    return [w for part in SENTENCE.split(common_form(text).lower()) if (w := WORD.findall(part))]
+    """The words of every sentence; a line break ends a sentence too."""
+    low = common_form(text).lower()
+    for mark in ".!?।":
+        low = low.replace(mark + " ", mark + "\n")
+    return [w for part in low.replace("\f", "\n").split("\n") if (w := WORD.findall(part))]
+
+
+def is_english(parts: list[list[str]]) -> bool:
+    """Whether more words stand in English sentences than in those of other languages.
+
+    Frequent words that only one side has vote for the sentence, and so do words in a script other
+    than Latin against it. Sentences without a vote, as in lists of names, count for neither side."""
+    words = list(chain.from_iterable(parts))
+    ours = sum(map(ENGLISH.__contains__, words))
+    if not ours:
+        return False
+    if not sum(map(OTHERS.__contains__, words)) and not ELSEWHERE.search("".join(words)):
+        return True
+    balance = 0
+    for s in parts:
+        votes = sum(map(ENGLISH.__contains__, s)) - sum(map(OTHERS.__contains__, s)) - sum(bool(ELSEWHERE.match(w)) for w in s)
+        balance += len(s) if votes > 0 else -len(s) if votes < 0 else 0
+    return balance > 0
 
 
-def english_words(parts: list[list[str]]) -> int:
-    """Words in sentences that are English rather than another language; less those that are the other way.
-    Frequent words of each language vote; a word in a script other than Latin votes against. Sentences
-    without a vote, as in lists of names, count for neither side."""
-    balance = 0
-    for words in parts:
-        votes = 0.0
-        for w in words:
-            of = BY_WORD.get(w)
-            if of:
-                votes += 1 / len(of) if "en" in of else -1 / 1
-            elif w[0] > "ɏ" or w.startswith(("l'", "d'", "qu'")):
-                votes -= 1
-        balance += len(words) if votes > 0 else -len(words) if votes < 0 else 0
-    return balance
+class Ranks(dict):
+    """Ranks of words; a word without one has the next rank after the last."""
+
+    def __missing__(self, word: str) -> int:
+        return len(self) + 1
 
 
 def ranked_words(documents: DataFrame) -> DataFrame:
@@ -61,7 +76,7 @@ def ranked_words(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 parts = sentences(t)
-                if english_words(parts) > 0:
+                if is_english(parts):
                     for words in parts:
                         seen.update(words)
             if len(seen) > 200_000:
@@ -79,17 +94,18 @@ def measures(documents: DataFrame, ranks: dict[str, int]) -> DataFrame:
     known = documents.sparkSession.sparkContext.broadcast(ranks)  # at most RANKED words
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, rare = known.value, len(known.value) + 1
+        rank = Ranks(known.value)
         for batch in batches:
             at, out = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 parts = sentences(t)
                 n = sum(map(len, parts))
-                if n < LEAST_WORDS or english_words(parts) <= 0:
+                if n < LEAST_WORDS or not is_english(parts):
                     continue
-                places = sorted(rank.get(w, rare) for words in parts for w in words)
+                words = list(chain.from_iterable(parts))
+                places = sorted(map(rank.__getitem__, words))
                 at.append(i)
-                out.append((n, math.log(places[math.ceil(SHARE * n) - 1]), math.log(sum(len(w) ** 2 for w in parts) / n), sum(len(w) for words in parts for w in words) / n))
+                out.append((n, math.log(places[math.ceil(SHARE * n) - 1]), math.log(sum(len(w) ** 2 for w in parts) / n), len("".join(words)) / n))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.float64()) for k in (1, 2, 3))], ["doc_id", "words", "vocabulary", "sentence", "letters"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -99,14 +115,13 @@ def measures(documents: DataFrame, ranks: dict[str, int]) -> DataFrame:
 MEASURES = ("vocabulary", "sentence", "letters")
 
 
-def calibration(measured: DataFrame, labels: DataFrame) -> DataFrame:
+def calibration(measured: DataFrame, rated: DataFrame) -> DataFrame:
     """(band, and per measure its median and scale): one row per band that has a rated document."""
-    rated = labels.where("doc_id is not null and band is not null").select("doc_id", F.col("band").cast("int").alias("band")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "band").limit(RATED)
-    known = measured.join(F.broadcast(rated), "doc_id")
+    known = cut(measured.join(F.broadcast(rated), "doc_id"))
     medians = known.groupBy("band").agg(*(F.median(m).alias(m) for m in MEASURES))
     off = known.join(F.broadcast(medians.select("band", *(F.col(m).alias(f"mid_{m}") for m in MEASURES))), "band")
     scales = off.agg(*(F.greatest(F.median(F.abs(F.col(m) - F.col(f"mid_{m}"))), F.lit(0.02)).alias(f"scale_{m}") for m in MEASURES))
-    return medians.crossJoin(scales)
+    return medians.join(F.broadcast(scales))
 
 
 def reading_bands(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -117,7 +132,9 @@ def reading_bands(documents: DataFrame, labels: DataFrame) -> DataFrame:
     neither grows with the corpus."""
     ranks = {r["word"]: i for i, r in enumerate(ranked_words(documents).collect(), 1)}
     measured = measures(documents, ranks)
-    bands = [r.asDict() for r in calibration(measured, labels).collect()]
+    rated = labels.where("doc_id is not null and band is not null").select("doc_id", F.col("band").cast("int").alias("band")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "band").limit(RATED)
+    sample = documents.join(F.broadcast(rated.select("doc_id").distinct()), "doc_id", "left_semi")
+    bands = [r.asDict() for r in calibration(measures(sample, ranks), rated).collect()]
     far = lambda b: sum((F.pow((F.col(m) - F.lit(b[m])) / F.lit(b[f"scale_{m}"]), 2) for m in MEASURES), F.lit(0.0))
     nearest = F.array_min(F.array(*(F.struct(far(b).alias("far"), F.lit(b["band"]).alias("band")) for b in bands)))["band"] if bands else F.lit(None).cast("int")
     return measured.select("doc_id", nearest.alias("band"))

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -69,40 +71,72 @@ SCRIPTS = re.compile(
         r"\byour browser (?:does not|doesn['’]t) support (?:javascript|scripts|cookies)\b", r"^\W*checking your browser before\b",
     ]), re.I,
 )
-ID = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
+ID = re.compile(r"(?=[0-9a-f]*\d)[0-9a-f]{6,}")
 DIGITS = re.compile(r"\d+")
-LEAD = re.compile(r"^\W+")
 
 
-def is_filler(line: str) -> bool:
-    words = WORDS.findall(line.lower())
+def is_filler(words: list[str]) -> bool:
+    if len(LATIN_SURE.intersection(words)) < 2:
+        return False
     latin = sum(w in LATIN for w in words)
-    return latin >= 4 and 2 * latin >= len(words) and sum(w in LATIN_SURE for w in words) >= 2 or "lorem ipsum" in line.lower()
+    return latin >= 4 and 2 * latin >= len(words) or {"lorem", "ipsum"} <= set(words)
 
 
 NONE, PART, STATEMENT = 0, 1, 2
 
 
-def trusted(line: str) -> int:
-    """NONE, PART (placeholder or filler) or STATEMENT of a line in the common form."""
-    if FAILED.search(line) or SCRIPTS.search(line) or FILLER.search(line):
-        return STATEMENT
-    return PART if PLACEHOLDER.search(line) or is_filler(line) else NONE
+# At least one of these stands in every text that a pattern can match.
+SIGNS = re.compile(r"[\[{<%@_#$●]")
+PLACEHOLDER_WORDS = "undefined null nan dd/ dd- dd. xx goes-here todo fixme (insert (enter (please (fill (add (type (put (tbc (tbd (tba (to (• (. (_ (…".split() + ["( "]
+STATEMENT_WORDS = ["http", "error", "status", "not found", "cannot be", "could not be", "denied", "permission", "unavailable", "gateway", "forbidden", "unauthori", "bad request", "method not", "uncaught", "traceback", "went wrong", "oops", "too many requests", "session has", "maintenance", "timed out", "is down", "is currently", "is temporarily", "code",
+                   "javascript", "java script", " scripts", "scripts ", "scripting", "cookies", "your browser", "sample ", "dummy ", "placeholder ", "filler ", "test text", "test co", "test para", "test wor", "test hea", "test tit", " here", "to follow", "coming soon", "to come"]
+
 
+@cache
+def finder() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for bit, words in ((1, PLACEHOLDER_WORDS), (2, STATEMENT_WORDS)):
+        for w in words:
+            found.add_word(w, found.get(w, 0) | bit)
+    found.make_automaton()
+    return found
 
-def masked(line: str) -> str:
-    return DIGITS.sub("0", ID.sub("#", line.lower())).strip()
 
+def may_have(text: str) -> tuple[bool, bool]:
+    """Whether a text can hold a placeholder, and whether it can hold a statement; both are cheap."""
+    bits = 0
+    for _, bit in finder().iter(text.lower()):
+        bits |= bit
+        if bits == 3:
+            break
+    return bool(bits & 1 or SIGNS.search(text)), bool(bits & 2)
 
-def simhash(words: np.ndarray) -> int:
-    """64 votes of the distinct words; a tie is a 0."""
-    w = mixed(np.unique(words))
-    bits = np.unpackbits(w.view(np.uint8).reshape(len(w), 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(w)).view(np.int64)[0])
+
+def trusted(line: str, words: list[str], placeholder: bool = True, statement: bool = True) -> int:
+    """NONE, PART (placeholder or filler) or STATEMENT of a line in the common form, with its words."""
+    if statement and (FAILED.search(line) or SCRIPTS.search(line) or FILLER.search(line)):
+        return STATEMENT
+    return PART if placeholder and PLACEHOLDER.search(line) or is_filler(words) else NONE
+
+
+def simhashes(lines: list[np.ndarray]) -> list[int]:
+    """64 votes of the words of each line; a tie is a 0. Lines without words hash to 0."""
+    size = np.array([len(w) for w in lines])
+    if not size.sum():
+        return [0] * len(lines)
+    bits = np.unpackbits(mixed(np.concatenate(lines)).view(np.uint8).reshape(-1, 8), axis=1)
+    ends = np.cumsum(size)
+    total = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+    votes = total[ends] - total[ends - size]
+    return np.packbits(2 * votes > size[:, None], axis=1).view(np.int64).ravel().tolist()
 
 
 def form_of(line: str) -> list[str]:
-    return WORDS.findall(masked(line))
+    """The words of a line in lower case; long hexadecimal ids are one sign, runs of digits a 0."""
+    words = WORDS.findall(line.lower())
+    if DIGITS.search(line):
+        return [w if w.isalpha() else "#" if ID.fullmatch(w) else DIGITS.sub("0", w) for w in words]
+    return words
 
 
 def form_id(words: list[str]) -> int:
@@ -114,24 +148,31 @@ def line_forms(records: DataFrame, key: str, text: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds()
-        cache: dict[str, tuple[int, int, int] | None] = {}
         for batch in batches:
-            at, out = [], []
+            at: list[int] = []
+            of: list[int] = []
+            met: dict[str, int] = {}  # each different line of the batch is looked at once
+            ids, kinds, words = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
+                t = common_form(t).replace("\f", "\n")
+                may = may_have(t)
                 mine = set()
-                for line in common_form(t).replace("\f", "\n").split("\n"):
-                    if line in cache:
-                        mine.add(cache[line])
-                        continue
-                    words, kind = form_of(line), trusted(line)
-                    got = (form_id(words), kind, simhash(known.of(words)) if words else 0) if words or kind else None
-                    if len(cache) > 200_000:
-                        cache.clear()
-                    cache[line] = got
-                    mine.add(got)
-                mine.discard(None)
+                for line in t.split("\n"):
+                    j = met.get(line)
+                    if j is None:
+                        w = form_of(line)
+                        kind = trusted(line, w, *may)
+                        if not w and not kind:
+                            continue
+                        j = met[line] = len(ids)
+                        ids.append(form_id(w))
+                        kinds.append(kind)
+                        words.append(known.of(w))
+                    mine.add(j)
                 at += [i] * len(mine)
-                out += mine
+                of += mine
+            sims = simhashes(words)
+            out = [(ids[j], kinds[j], sims[j]) for j in of]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([o[k] for o in out], t) for k, t in ((0, pa.int64()), (1, pa.int8()), (2, pa.int64())))], ["id", "form", "kind", "sim"])
 
     kind = records.schema[key].dataType.simpleString()
