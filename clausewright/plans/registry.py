@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import history
+from . import corpus, evaluation, history, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (history,)
+MODULES = (history, retrieval, evaluation, corpus)
 
 
 def queries() -> dict[str, Query]:
