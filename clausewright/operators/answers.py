@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,14 +66,25 @@ def accepted(times: list[float], most: int, window: float) -> list[bool]:
 
 
 def rate_limit(events: DataFrame, most: int = 20, seconds: int = 60) -> DataFrame:
-    """(event_id, accepted). Users' days are independent tasks only if no window crosses midnight, so
-    calls are grouped by user and session: a gap of `seconds` empties the window."""
+    """(event_id, accepted). Calls are folded in order within a user's session: a gap of `seconds`
+    empties the window, so sessions are independent and a busy user is spread over tasks."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     gap = F.coalesce(F.col("ts").cast("double") - F.lag("ts").over(w).cast("double") >= seconds, F.lit(True))
     calls = events.where("user_id is not null and ts is not null").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("s", F.sum(gap.cast("int")).over(w))
 
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["ts", "event_id"])
-        return pd.DataFrame({"event_id": df["event_id"], "accepted": accepted([t.timestamp() for t in df["ts"]], most, seconds)})
-
-    return calls.groupBy("user_id", "s").applyInPandas(fold, "event_id bigint, accepted boolean")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, kept = None, []
+        for df in batches:
+            out = []
+            for u, k, t in zip(df["user_id"], df["s"], df["ts"]):
+                if (u, k) != session:
+                    session, kept = (u, k), []
+                now = t.timestamp()
+                kept = [x for x in kept if x > now - seconds]
+                out.append(len(kept) < most)
+                if out[-1]:
+                    kept.append(now)
+            yield pd.DataFrame({"event_id": df["event_id"], "accepted": out})
+
+    ordered = calls.repartition("user_id", "s").sortWithinPartitions("user_id", "s", "ts", "event_id")
+    return ordered.mapInPandas(fold, "event_id bigint, accepted boolean")
