@@ -119,16 +119,19 @@ def trusted(line: str, words: list[str], placeholder: bool = True, statement: bo
     return PART if placeholder and PLACEHOLDER.search(line) or is_filler(words) else NONE
 
 
-def simhashes(lines: list[np.ndarray]) -> list[int]:
-    """64 votes of the words of each line; a tie is a 0. Lines without words hash to 0."""
-    size = np.array([len(w) for w in lines])
-    if not size.sum():
-        return [0] * len(lines)
-    bits = np.unpackbits(mixed(np.concatenate(lines)).view(np.uint8).reshape(-1, 8), axis=1)
-    ends = np.cumsum(size)
-    total = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-    votes = total[ends] - total[ends - size]
-    return np.packbits(2 * votes > size[:, None], axis=1).view(np.int64).ravel().tolist()
+def simhashes(lines: list[np.ndarray], block: int = 2000) -> list[int]:
+    """64 votes of the words of each line; a tie is a 0. Lines without words hash to 0. A word takes
+    some 300 bytes while it votes, so lines are counted in blocks."""
+    out: list[int] = []
+    for i in range(0, len(lines), block):
+        part = lines[i : i + block]
+        size = np.array([len(w) for w in part])
+        ends = np.cumsum(size)
+        bits = np.unpackbits(mixed(np.concatenate(part)).view(np.uint8).reshape(-1, 8), axis=1)
+        total = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+        votes = total[ends] - total[ends - size]
+        out += np.packbits(2 * votes > size[:, None], axis=1).view(np.int64).ravel().tolist()
+    return out
 
 
 def form_of(line: str) -> list[str]:
