@@ -73,7 +73,7 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
         return False
     both = common_subsequence(question, answer)
     extra = len(answer) - sum(w in question for w in answer)
-    return both >= 0.8 * len(question) and extra <= 0.1 * len(question) + 1 and containment(answer, question) >= 0.6 and (len(answer) <= 1.2 * len(question) + 1 or containment(answer, question) >= 0.85)
+    return both >= 0.8 * len(question) and extra <= 0.1 * len(question) + 1 and containment(answer, question) >= 0.6 and (len(answer) <= 1.2 * len(question) + 1 or containment(answer, question) >= 0.75)
 
 
 def is_refusal(answer: list[str]) -> bool:
