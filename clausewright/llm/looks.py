@@ -35,6 +35,7 @@ HIDDEN = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ"
 JOINERS = "‌‍"
 VISIBLE_CF = "؀؁؂؃؄؅۝܏࣢"
 BEYOND = re.compile("[\U00010000-\U0010ffff]")
+SALTS = 8
 PLAIN_TAGS = ("<wide>", "<narrow>", "<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
 
 
@@ -138,14 +139,15 @@ def same_looks(chunks: DataFrame) -> DataFrame:
     """(chunk_id_a, chunk_id_b): chunks whose texts differ as strings and are equal in the common form.
 
     Null ids and null texts take no part; a repeated row counts once. In every pair at least one
-    text differs from its form, so only those few texts look for partners; both sides carry two
-    128-bit hashes in place of the text. The changed side is spread over salts, the other side
-    repeated per salt only where it is itself a partner of a changed text."""
+    text differs from its form, so only those texts look for partners. Both sides carry hashes (96
+    bits of the form, 128 of the text) in place of the text. The partners of one form are spread
+    over SALTS tasks; the texts that look for them, the smaller side, are repeated per salt."""
     forms = chunks.where("chunk_id is not null and text is not null").select("chunk_id", "text", common_form_col(F.col("text")).alias("form"))
     keyed = forms.select("chunk_id", F.xxhash64("form").alias("k1"), F.hash("form").alias("k2"), F.md5("text").alias("raw"), (F.col("text") != F.col("form")).alias("changed"))
-    left = keyed.where("changed").select("k1", "k2", F.col("chunk_id").alias("x"), F.col("raw").alias("xr")).distinct()
-    right = keyed.select("k1", "k2", F.col("chunk_id").alias("y"), F.col("raw").alias("yr")).distinct()
-    met = left.join(right, ["k1", "k2"]).where("xr <> yr and x <> y")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    left = keyed.where("changed").select("k1", "k2", F.col("chunk_id").alias("x"), F.col("raw").alias("xr")).distinct().withColumn("salt", salts)
+    right = keyed.select("k1", "k2", F.col("chunk_id").alias("y"), F.col("raw").alias("yr"), F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int").alias("salt")).distinct()
+    met = left.join(right, ["k1", "k2", "salt"]).where("xr <> yr and x <> y")
     return met.select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
 
 
