@@ -11,10 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import cut
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -81,6 +84,75 @@ def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 10, k1
     return top(weighed.join(asked, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score")), k)
 
 
+def bm25_blocks(terms: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, heavy: int = 512, width: int = 2000) -> DataFrame:
+    """The ranking of bm25 for queries as long as documents, which share a word with most of the
+    corpus: no pair is a row of a join. Queries go out in blocks of about 2,048; `width` documents
+    at a time are scored against a block, by a product of matrices for the `heavy` words that most
+    documents have and posting by posting for the rest. A task keeps the best k per query; whatever
+    scores below the k-th best so far is dropped, which cannot change the result."""
+    block = 2048
+    spark = terms.sparkSession
+    asked = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+    kind, qkind = terms.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {qkind}, id {kind}, score double"
+    # One pass for df and the corpus: the empty word, which no text has, stands once in every document.
+    counted = cut(terms.select("dl", F.explode(F.array_append(F.array_distinct("tk"), F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length")))
+    corpus = counted.where("term = ''").first()
+    if corpus is None or not corpus["length"]:
+        return top(spark.createDataFrame([], schema), k)
+    n, avgdl = corpus["df"], corpus["length"] / corpus["df"]
+    blocks = -(-asked.select("query_id").distinct().count() // block)
+    found = None
+    for i in range(blocks):
+        pdf = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).join(counted.select("term", "df"), "term").toPandas()
+        words = pdf[["term", "df"]].drop_duplicates().sort_values(["df", "term"], ascending=[False, True])
+        names = pdf["query_id"].drop_duplicates().tolist()
+        q, t = pdf["query_id"].map({x: j for j, x in enumerate(names)}).to_numpy(int), pdf["term"].map({x: j for j, x in enumerate(words["term"])}).to_numpy(int)
+        said = np.zeros((len(names), min(heavy, len(words))))
+        said[q[t < heavy], t[t < heavy]] = 1
+        order = np.argsort(t, kind="stable")
+        of = np.split(q[order], np.searchsorted(t[order], np.arange(1, len(words))))  # the queries of every word
+        df = words["df"].to_numpy(float)
+        part = spark.sparkContext.broadcast((names, words["term"].tolist(), np.log(1 + (n - df + 0.5) / (df + 0.5)), said, of))
+
+        def best(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            names, words, weight, said, of = part.value
+            vocabulary, least, held = pa.array(words, pa.string()), np.zeros(len(names)), None
+            for batch in batches if words else ():
+                for at in range(0, batch.num_rows, width):
+                    docs = batch.slice(at, width)
+                    size, dl = docs.num_rows, docs.column("dl").to_numpy(zero_copy_only=False)
+                    word = pc.fill_null(pc.index_in(docs.column("tk").flatten(), value_set=vocabulary), -1).to_numpy().astype(np.int64)
+                    key, tf = np.unique((np.repeat(np.arange(size), dl) + size * word)[word >= 0], return_counts=True)
+                    t, d = np.divmod(key, size)
+                    w = weight[t] * tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl[d] / avgdl))
+                    cutoff = np.searchsorted(t, said.shape[1])
+                    dense = np.zeros((said.shape[1], size))
+                    dense[t[:cutoff], d[:cutoff]] = w[:cutoff]
+                    score = said @ dense
+                    light, start = np.unique(t[cutoff:], return_index=True)
+                    for x, lo, hi in zip(light.tolist(), start + cutoff, np.append(start[1:] + cutoff, len(t))):
+                        score[np.ix_(of[x], d[lo:hi])] += w[lo:hi]
+                    rounded = np.round(score, 9)
+                    if size > k:
+                        least = np.maximum(least, np.partition(rounded, size - k, axis=1)[:, size - k])
+                    q, j = np.nonzero((score > 0) & (rounded >= least[:, None]))
+                    if not len(q):
+                        continue
+                    new = pd.DataFrame({"q": q, "id": docs.column("id").to_pandas().to_numpy()[j], "score": score[q, j], "r": -rounded[q, j]})
+                    held = (new if held is None else pd.concat([held, new])).sort_values(["q", "r", "id"])
+                    rank = held.groupby("q").cumcount()
+                    kth = held[rank == k - 1]
+                    least[kth["q"]] = np.maximum(least[kth["q"]], -kth["r"])
+                    held = held[rank < k]
+            if held is not None:
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": [names[x] for x in held["q"]], "id": held["id"].to_numpy(), "score": held["score"].to_numpy()}), preserve_index=False)
+
+        rows = terms.select("id", "dl", "tk").mapInArrow(best, schema)
+        found = rows if found is None else found.unionByName(rows)
+    return top(found if found is not None else spark.createDataFrame([], schema), k)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
     """Exact top k by dot product, in double precision. queries: query_id, q (array). The
     stated query set goes out in blocks of about 4,096 vectors; each block is multiplied with

@@ -1,7 +1,10 @@
 """The document queries over all documents, those without a vector too."""
 
+import random
+
 import pytest
 
+from clausewright.operators import retrieval as R
 from clausewright.plans import retrieval
 
 DOCS = [(1, "waiting period for cataract surgery"), (100, "cataract surgery"), (101, "cataract surgery is covered"), (200, "maternity expenses"), (201, "maternity expenses are excluded"), (202, None)]
@@ -30,3 +33,25 @@ def test_documents_without_a_vector_are_ranked_and_ask(spark, sf):
         assert set(got) == {100, 200} and set(got[100]) == {1, 100, 101} and got[200] == [200, 201]
     asked = {(r["query_id"], r["id"]) for r in retrieval.confidence_coalesce(spark, sf).collect()}
     assert {(200, 200), (200, 201)} <= asked
+
+
+def test_whole_text_of_a_query_counts(spark, tmp_path):
+    docs = [(100, "\nwaiting period\nfor cataract surgery"), (101, "cataract surgery"), (200, "grace period\nmaternity expenses"), (201, "maternity expenses")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["query_id"], r["id"]): r["score"] for r in retrieval.rerank_topk(spark, str(tmp_path)).collect()}
+    assert got == {(100, 100): 1.0, (100, 101): 0.4, (100, 200): 0.2, (200, 200): 1.0, (200, 201): 0.5, (200, 100): 0.25}
+
+
+def test_blocks_rank_as_the_join_does(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choices(words, [1 / (1 + i) for i in range(40)], k=n))
+    docs = spark.createDataFrame([(i, text(rng.randint(0, 30))) for i in range(300)] + [(300, "w3 w7"), (301, "w7 w3"), (302, None)], "id long, text string")
+    asked = spark.createDataFrame([(i, text(25)) for i in range(12)] + [(12, "w3 w7"), (13, "none"), (14, None)], "query_id long, text string")
+    terms = R.doc_terms(docs, "id", "text")
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in df.collect())
+    want = rows(R.bm25(R.postings(terms), R.corpus_stats(terms), asked, 7))
+    assert len(want) == 91
+    for heavy, width in ((512, 2000), (5, 11), (0, 40)):
+        assert rows(R.bm25_blocks(terms, asked, 7, heavy=heavy, width=width)) == want
+    assert rows(R.bm25_blocks(terms.where("id < 0"), asked)) == [] == rows(R.bm25_blocks(terms, asked.where("query_id < 0")))
