@@ -4,11 +4,16 @@ A record is split into lines; a line's form is the words of its common form in l
 runs of digits and long hexadecimal ids as one sign, and equal forms are one node. Trusted patterns
 label a line either as holding a placeholder or filler, which says nothing about similar lines, or
 as a residue statement: an error message, a scripts notice, announced filler. Statements in
-wordings that the patterns miss are reached by near-duplicate links: every form has a SimHash over
-its words, kept in partitioned tables (PARTS slices of 16 bits; two hashes within RADIUS bits agree
-in at least one slice), candidates from the tables are verified by Hamming distance and by the
-similarity of their five-word sequences, and the label spreads over the links, round by round,
-until the connected components that hold a trusted statement are labelled whole.
+wordings that the patterns miss are reached by near-duplicate links: two forms are linked when at
+least SIMILAR of their five-word sequences are common. Each form stands in a table under the first
+of its sequences in the order of their hashes, so many that two linked forms agree in at least one;
+candidates from the table that pass the bounds of near.py on sizes and bitmaps are verified by the
+similarity itself, so no link is lost. The label
+spreads over the links, round by round, until the connected components that hold a trusted
+statement are labelled whole.
+
+A SimHash over the words (`simhashes`, within RADIUS bits) gave 35 % of the links of sf0.1. It finds
+no candidates any more and stays as what the tests compare with.
 
 Only links that touch a labelled statement are looked at. Their distinct forms are bounded by the
 wordings in use, so the work follows the residue, not the square of the corpus.
@@ -30,9 +35,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .looks import common_form
-from .near import WORDS, WordIds, mixed, shingles
+from .near import SMALL, WORDS, WordIds, mixed, shingles
 
-PARTS, RADIUS, SIMILAR, SHINGLE, ROUNDS = 4, 3, 0.8, 5, 20
+RADIUS, SIMILAR, SHINGLE, ROUNDS = 3, 0.8, 5, 20
 
 # Names that stand in brackets of a template although they are plain words, and filler words.
 NAMES = "nominee|insurer|member|policyholder|name|date|amount|address|title|email|phone|company|product|customer|user|value|number|city|link|url"
@@ -134,6 +139,37 @@ def simhashes(lines: list[np.ndarray], block: int = 2000) -> list[int]:
     return out
 
 
+def prefix_size(n: np.ndarray) -> np.ndarray:
+    """Of n sequences, how many a form stands under: a linked form lacks fewer than these."""
+    return n - np.ceil(SIMILAR * n - 1e-9).astype(np.int64) + 1
+
+
+def prefixes(lines: list[np.ndarray]) -> pa.ListArray:
+    return sequences(lines)[2]
+
+
+def sequences(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """Of each line: how many five-word sequences it has, their 64-bit bitmap, and the hashes of those
+    that it stands under; none if it has fewer words, since such a line is similar only to itself."""
+    of, words = np.repeat(np.arange(len(lines)), [len(w) for w in lines]), np.concatenate([*lines, np.empty(0, np.uint64)])
+    end = max(0, len(words) - SHINGLE + 1)
+    h = words[:end]
+    for i in range(1, SHINGLE):
+        h = mixed(h) + words[i : end + i]
+    inside = of[:end] == of[SHINGLE - 1 :][:end]
+    h, of = mixed(h)[inside], of[:end][inside]
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))[: len(h)]
+    h, of = h[new], of[new]
+    n = np.bincount(of, minlength=len(lines))
+    taken = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(prefix_size(n), n)
+    ends = np.append(0, np.cumsum(np.bincount(of[taken], minlength=len(lines)))).astype(np.int32)
+    maps = np.zeros(len(lines), np.uint64)
+    np.bitwise_or.at(maps, of, np.uint64(1) << (h & np.uint64(63)))
+    return n, maps.view(np.int64), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[taken].view(np.int64)))
+
+
 def form_of(line: str) -> list[str]:
     """The words of a line in lower case; long hexadecimal ids are one sign, runs of digits a 0."""
     words = WORDS.findall(line.lower())
@@ -147,7 +183,7 @@ def form_id(words: list[str]) -> int:
 
 
 def line_forms(records: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, form, kind, sim): the distinct lines of every record that have a word or a trusted pattern."""
+    """(id, form, kind, n, map, prefix): the distinct lines of every record that have a word or a trusted pattern."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds()
@@ -174,23 +210,27 @@ def line_forms(records: DataFrame, key: str, text: str) -> DataFrame:
                     mine.add(j)
                 at += [i] * len(mine)
                 of += mine
-            sims = simhashes(words)
-            out = [(ids[j], kinds[j], sims[j]) for j in of]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([o[k] for o in out], t) for k, t in ((0, pa.int64()), (1, pa.int8()), (2, pa.int64())))], ["id", "form", "kind", "sim"])
+            line = pa.array(of, pa.int64())
+            n, maps, under = sequences(words)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.int64()).take(line), pa.array(kinds, pa.int8()).take(line), pa.array(n, pa.int32()).take(line), pa.array(maps).take(line), under.take(line)], ["id", "form", "kind", "n", "map", "prefix"])
 
     kind = records.schema[key].dataType.simpleString()
-    return records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInArrow(rows, f"id {kind}, form bigint, kind tinyint, sim bigint")
+    return records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInArrow(rows, f"id {kind}, form bigint, kind tinyint, n int, map bigint, prefix array<bigint>")
+
+
+def _sent(few: DataFrame) -> DataFrame:
+    return F.broadcast(few) if few.count() <= SMALL // 4 else few
 
 
-def _slices(forms: DataFrame) -> DataFrame:
-    """The partitioned tables: one row per form and slice of its SimHash."""
-    return forms.select("form", "sim", F.posexplode(F.array(*[F.expr(f"cast(shiftright(sim, {16 * p}) & 65535 as int)") for p in range(PARTS)])).alias("part", "slice"))
+def _table(forms: DataFrame) -> DataFrame:
+    """One row per form and sequence that it stands under."""
+    return forms.select("form", "n", "map", F.explode("prefix").alias("gram"))
 
 
 def _grams_of(records: DataFrame, key: str, text: str, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """(form, grams) of the wanted forms, read from one record that has each."""
-    held = lines.join(wanted, "form", "left_semi").groupBy("form").agg(F.min("id").alias("id"))
-    per_record = held.groupBy("id").agg(F.collect_set("form").alias("forms"))
+    held = lines.select("id", "form").join(_sent(wanted), "form", "left_semi").groupBy("form").agg(F.min("id").alias("id"))
+    per_record = _sent(cut(held.groupBy("id").agg(F.collect_set("form").alias("forms"))))
     found = records.select(F.col(key).alias("id"), F.col(text).alias("t")).join(per_record, "id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,20 +250,22 @@ def _grams_of(records: DataFrame, key: str, text: str, lines: DataFrame, wanted:
 
 def spread(records: DataFrame, key: str, text: str, lines: DataFrame) -> DataFrame:
     """(form) of all statements: the trusted ones and whatever near-duplicate links connect with them."""
-    forms = lines.groupBy("form").agg(F.max("kind").alias("kind"), F.first("sim").alias("sim"))
-    tables = _slices(forms.where(f"kind <> {STATEMENT}"))
-    labelled = cut(forms.where(f"kind = {STATEMENT}").select("form", "sim"))
+    table = _table(lines.where(f"kind <> {STATEMENT}"))
+    labelled = cut(lines.where(f"kind = {STATEMENT}").select("form", "n", "map", "prefix").dropDuplicates(["form"]))
     frontier = labelled
+    missing = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b)))
+    common = F.least(F.col("n") - missing("map", "seed_map"), F.col("seed_n") - missing("seed_map", "map"))  # at most
     for _ in range(ROUNDS):
-        near = _slices(frontier).select("part", "slice", F.col("form").alias("seed"), F.col("sim").alias("seed_sim"))
-        close = tables.join(near, ["part", "slice"]).where(f"bit_count(sim ^ seed_sim) <= {RADIUS}").select("form", "sim", "seed").distinct()
+        near = cut(_table(frontier).select(F.col("form").alias("seed"), F.col("n").alias("seed_n"), F.col("map").alias("seed_map"), "gram"))
+        close = table.join(_sent(near), "gram").where((1 + SIMILAR) * common >= SIMILAR * (F.col("n") + F.col("seed_n")) - 1e-9).select("form", "n", "map", "seed").dropDuplicates(["form", "seed"])
         close = cut(close.join(labelled.select("form"), "form", "left_anti"))
         if close.isEmpty():
             return labelled.select("form")
         grams = cut(_grams_of(records, key, text, lines, close.select("form").unionByName(close.select(F.col("seed").alias("form"))).distinct()))
         both = close.join(grams, "form").join(grams.select(F.col("form").alias("seed"), F.col("grams").alias("seed_grams")), "seed")
         alike = F.size(F.array_intersect("grams", "seed_grams")) >= SIMILAR * F.size(F.array_union("grams", "seed_grams"))
-        frontier = cut(both.where(alike).select("form", "sim").distinct())
+        size = F.size("grams")  # grams ascend as prefixes() orders them
+        frontier = cut(both.where(alike).select("form", "n", "map", F.slice("grams", F.lit(1), (size - F.ceil(SIMILAR * size - 1e-9) + 1).cast("int")).alias("prefix")).dropDuplicates(["form"]))
         if frontier.isEmpty():
             return labelled.select("form")
         labelled = cut(labelled.unionByName(frontier))
@@ -237,7 +279,7 @@ def residue(records: DataFrame, key: str = "chunk_id", text: str = "text") -> Da
     columns are ignored."""
     lines = line_forms(records, key, text).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        marked = lines.where(f"kind <> {NONE}").select("id").unionByName(lines.join(spread(records, key, text, lines), "form", "left_semi").select("id"))
+        marked = lines.where(f"kind <> {NONE}").select("id").unionByName(lines.select("id", "form").join(_sent(spread(records, key, text, lines)), "form", "left_semi").select("id"))
         return cut(marked.distinct()).select(F.col("id").alias(key))
     finally:
         lines.unpersist()
