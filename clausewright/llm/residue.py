@@ -93,8 +93,8 @@ NONE, PART, STATEMENT = 0, 1, 2
 # At least one of these stands in every text that a pattern can match.
 SIGNS = re.compile(r"[\[{<%@_#$●]")
 PLACEHOLDER_WORDS = "undefined null nan dd/ dd- dd. xx goes-here todo fixme (insert (enter (please (fill (add (type (put (tbc (tbd (tba (to (• (. (_ (…".split() + ["( "]
-STATEMENT_WORDS = ["http", "error", "status", "not found", "cannot be", "could not be", "denied", "permission", "unavailable", "gateway", "forbidden", "unauthori", "bad request", "method not", "uncaught", "traceback", "went wrong", "oops", "too many requests", "session has", "maintenance", "timed out", "is down", "is currently", "is temporarily", "code",
-                   "javascript", "java script", " scripts", "scripts ", "scripting", "cookies", "your browser", "sample ", "dummy ", "placeholder ", "filler ", "test text", "test co", "test para", "test wor", "test hea", "test tit", " here", "to follow", "coming soon", "to come"]
+STATEMENT_WORDS = ["http", "error", "status", "not found", "cannot be", "file cannot", "could not be", "denied", "permission", "unavailable", "gateway", "forbidden", "unauthori", "bad request", "method not", "uncaught", "traceback", "went wrong", "oops", "too many requests", "session has", "maintenance", "timed out", "is down", "is currently", "is temporarily", "code",
+                   "javascript", "java script", "script ", " scripts", "scripts ", "scripting", "internal server", "cookies", "your browser", "sample ", "dummy ", "placeholder ", "filler ", "test text", "test co", "test para", "test wor", "test hea", "test tit", " here", "to follow", "coming soon", "to come"]
 
 
 @cache

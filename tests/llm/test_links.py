@@ -44,3 +44,12 @@ def test_label_reaches_a_short_line_with_another_end(spark):
     rows = [(f"s{i}", x) for i, x in enumerate(seeds)] + [(f"c{i}", x) for i, x in enumerate(close)] + [("chain", chain), ("far", " ".join(WORDS[:20]))]
     got = {r[0] for r in residue.residue(spark.createDataFrame(rows, "chunk_id string, text string")).collect()}
     assert got == {x for x, _ in rows} - {"far"}
+
+
+def test_every_pattern_passes_the_word_filter():
+    said = ["Script must be enabled", "500 Internal Server", "Scripts are required", "Java script is disabled", "Please enable scripting in your browser", "Checking your browser before access", "403 Forbidden", "401 Unauthorized", "400 Bad Request", "502 Bad Gateway", "405 Method not allowed",
+            "429 too many requests", "404 File not found", "404 the file cannot", "The file cannot be located", "the page was removed, renamed or is unavailable", "Access denied", "You don't have permission to view this page", "Uncaught TypeError in", "Traceback (most recent call last)", "Something went wrong while we loaded", "Oops, wrong",
+            "Your session has expired", "We are down for maintenance", "The site is down", "Request timed out", "503 service unavailable", "504 gateway time-out", "code 404", "This requires cookies", "Sample text for", "Your text goes here", "Text to follow", "Copy coming soon"]
+    for line in said:
+        assert residue.FAILED.search(line) or residue.SCRIPTS.search(line) or residue.FILLER.search(line), line
+        assert residue.may_have(line)[1], line
