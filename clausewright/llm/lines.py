@@ -88,10 +88,13 @@ class LineState:
         return cls(spark.createDataFrame([], EMPTY_COUNTS), spark.createDataFrame([], recs.select("id").schema))
 
     def merge(self, recs: DataFrame, limit: int = LIMIT) -> tuple[LineState, DataFrame]:
-        """The state after a partition of records, and the lines newly over the limit."""
+        """The state after a partition of records, and the lines over the limit that stand in its new
+        records: those that reach it now, whose earlier records change too, and those that did before."""
         fresh = recs.join(self.seen, "id", "left_anti")
-        merged = merge_counts(self.counts, delta_counts(fresh))
-        return LineState(merged.select("source", "k1", "k2", "n"), self.seen.unionByName(fresh.select("id").distinct())), crossings(merged, limit)
+        delta = delta_counts(fresh)
+        merged = merge_counts(self.counts, delta)
+        over = merged.where(F.col("n") >= limit).select("source", "k1", "k2").join(delta, ["source", "k1", "k2"], "left_semi")
+        return LineState(merged.select("source", "k1", "k2", "n"), self.seen.unionByName(fresh.select("id").distinct())), over
 
 
 def repeated_lines(rows: DataFrame, key: str = "chunk_id", source: str = "source_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
