@@ -211,3 +211,25 @@ def test_reading_bands(spark):
     got = {r["doc_id"]: r["band"] for r in reading.reading_bands(df, labels.where("band <> 2 or doc_id is null")).collect()}
     assert got == {i: 1 for i in range(8)} | {10 + i: 4 for i in range(8)}
     assert {r["band"] for r in reading.reading_bands(df, labels.where("false")).collect()} == {None}
+
+
+def test_ranks_that_do_not_travel_are_joined(spark):
+    """However few ranks are sent, the measures are those of a count by hand."""
+    import math
+    import re
+    from collections import Counter
+
+    rng = random.Random(9)
+    spoken = [f"w{i}" for i in range(400)]
+    texts = {i: "the offer is for you. " * 3 + " ".join(rng.choices(spoken, [1 / (1 + j) for j in range(400)], k=80 + i)) for i in range(30)}
+    count = Counter(w for t in texts.values() for w in re.findall(r"\w+", t))
+    rank = {w: 1 + sum(m > n for m in count.values()) for w, n in count.items()}
+    want = {}
+    for i, t in texts.items():
+        places = sorted(rank[w] for w in re.findall(r"\w+", t))
+        want[i] = round(math.log(places[math.ceil(0.6 * len(places)) - 1]), 9)
+    parse = reading.parsed(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3))
+    ranks = reading.word_ranks(parse)
+    for sent in (0, 5, 40, 50_000):
+        assert {r["doc_id"]: round(r["vocabulary"], 9) for r in reading.measures(parse, ranks, sent).collect()} == want
+    assert reading.parsed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
