@@ -7,12 +7,14 @@ statistics are those of the unfiltered corpus.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +70,8 @@ def top(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, allow: DataFrame | None = None) -> DataFrame:
     """Top k per query by the sum over its distinct terms. queries: query_id, text. `allow` (id)
-    restricts what is ranked, never the statistics. A blank query has no rows.
+    restricts what is ranked, never the statistics. A blank query has no rows. For few queries of
+    rare words: a frequent word gives a row per query and document; bm25_blocks has no such rows.
 
     Only postings of query terms are joined; the queries' terms are joined by term, so no pair of
     query and document without a common term is formed."""
@@ -84,103 +87,179 @@ def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 10, k1
     return top(weighed.join(asked, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score")), k)
 
 
-def bm25_blocks(terms: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, heavy: int = 512, width: int = 2000) -> DataFrame:
-    """The ranking of bm25 for queries as long as documents, which share a word with most of the
-    corpus: no pair is a row of a join. Queries go out in blocks of about 2,048; `width` documents
-    at a time are scored against a block, by a product of matrices for the `heavy` words that most
-    documents have and posting by posting for the rest. A task keeps the best k per query; whatever
-    scores below the k-th best so far is dropped, which cannot change the result."""
-    block = 2048
-    spark = terms.sparkSession
+class Best:
+    """The k best items of every query of a block, kept while batches of items go by. What scores
+    below a query's k-th best so far is dropped, which cannot change the result."""
+
+    def __init__(self, names: list, k: int) -> None:
+        self.names, self.k = names, k
+        self.least, self.held = np.full(len(names), -np.inf), None
+
+    def add(self, ids: np.ndarray, score: np.ndarray, counts: np.ndarray) -> None:
+        """score and counts (whether the pair may be ranked): one row per query, one column per item."""
+        rounded = np.where(counts, np.round(score, 9), -np.inf)
+        if len(ids) > self.k:
+            self.least = np.maximum(self.least, np.partition(rounded, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+        q, j = np.nonzero(counts & (rounded >= self.least[:, None]))
+        if not len(q):
+            return
+        new = pd.DataFrame({"q": q, "id": ids[j], "score": score[q, j], "r": -rounded[q, j]})
+        held = (new if self.held is None else pd.concat([self.held, new])).sort_values(["q", "r", "id"])
+        rank = held.groupby("q").cumcount()
+        kth = held[rank == self.k - 1]
+        self.least[kth["q"]] = np.maximum(self.least[kth["q"]], -kth["r"])
+        self.held = held[rank < self.k]
+
+    def rows(self) -> pa.RecordBatch | None:
+        if self.held is None:
+            return None
+        return pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": [self.names[x] for x in self.held["q"]], "id": self.held["id"].to_numpy(), "score": self.held["score"].to_numpy()}), preserve_index=False)
+
+
+Scorer = Callable[[bytes], tuple[list, Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]]]
+BLOCK = 2048  # queries of a block, about
+SENT = 64 << 20  # bytes of query blocks that travel to every task at once
+GROUP = 20_000  # items of a group where the blocks do not travel
+
+
+def in_blocks(items: DataFrame, blocks: DataFrame, scorer: Scorer, qkind: str, k: int, width: int = 2000, sent: int = SENT) -> DataFrame:
+    """The k best items per query, of a stated query set against all items, block by block.
+
+    items has an id; blocks has payload, one row per block of queries. `scorer` opens a payload and
+    gives the query ids and a function from a batch of items to scores and to what may be ranked.
+    Blocks of `sent` bytes in all are broadcast, and items are scored where they are read. Larger
+    query sets are dealt to groups of blocks of that size; groups of items meet groups of blocks by
+    an equal key, so a task never holds more than one of each."""
+    spark = items.sparkSession
+    schema = f"query_id {qkind}, id {items.schema['id'].dataType.simpleString()}, score double"
+
+    def best(batches: Iterator[pa.RecordBatch], payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+        opened = [scorer(p) for p in payloads]
+        kept = [Best(names, k) for names, _ in opened]
+        for batch in batches:
+            for at in range(0, batch.num_rows, width):
+                part = batch.slice(at, width)
+                ids = part.column("id").to_pandas().to_numpy()
+                for (_, score), b in zip(opened, kept):
+                    b.add(ids, *score(part))
+        yield from (rows for b in kept if (rows := b.rows()) is not None)
+
+    size = blocks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("bytes")).first()
+    if not size["n"]:
+        return top(spark.createDataFrame([], schema), k)
+    if size["bytes"] <= sent:
+        few = spark.sparkContext.broadcast([bytes(r["payload"]) for r in blocks.collect()])  # at most `sent` bytes
+        return top(items.mapInArrow(lambda batches: best(batches, few.value), schema), k)
+    groups, parts = -(-size["bytes"] // sent), max(1, -(-items.count() // GROUP))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = items.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("grp", every(groups).cast("int"))
+    right = blocks.select("payload", F.pmod(F.xxhash64("payload"), F.lit(groups)).cast("int").alias("grp")).withColumn("part", every(parts).cast("int"))
+
+    def met(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        got = list(best(iter(mine.to_batches()), theirs.column("payload").to_pylist()))
+        return pa.Table.from_batches(got) if got else empty.to_table()
+
+    empty = _Empty(qkind, items.schema["id"].dataType.simpleString())
+    return top(left.groupBy("part", "grp").cogroup(right.groupBy("part", "grp")).applyInArrow(met, schema), k)
+
+
+class _Empty:
+    """An Arrow table without rows, of a ranking's columns."""
+
+    KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+    def __init__(self, qkind: str, kind: str) -> None:
+        self.types = [self.KINDS.get(qkind, pa.string()), self.KINDS.get(kind, pa.string()), pa.float64()]
+
+    def to_table(self) -> pa.Table:
+        return pa.Table.from_arrays([pa.array([], t) for t in self.types], ["query_id", "id", "score"])
+
+
+def _payloads(rows: DataFrame, pack: Callable[[pd.DataFrame], bytes], block: int = BLOCK) -> DataFrame:
+    """(payload): the rows of the queries of a block, packed; rows has query_id."""
+    n = rows.select("query_id").distinct().count()
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))))
+    return cut(dealt.groupBy("block").applyInPandas(lambda pdf: pd.DataFrame({"payload": [pack(pdf)]}), "payload binary"))
+
+
+def bm25_blocks(terms: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, heavy: int = 512, width: int = 2000, allow: DataFrame | None = None, block: int = BLOCK, sent: int = SENT) -> DataFrame:
+    """The ranking of bm25 without a row per pair of query and document that share a word.
+
+    Documents are tokenised once, into a column kept for two passes: document frequencies, and
+    scores. `width` documents at a time are scored against a block of queries, by a product of
+    matrices for the `heavy` words of the block that most documents have and posting by posting for
+    the rest. `allow` (id) restricts what is ranked, never the statistics."""
     asked = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
-    kind, qkind = terms.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {qkind}, id {kind}, score double"
+    qkind = queries.schema["query_id"].dataType.simpleString()
+    said = terms.select("id", "dl", F.array_join("tk", " ").alias("said")).persist(StorageLevel.MEMORY_AND_DISK)
     # One pass for df and the corpus: the empty word, which no text has, stands once in every document.
-    counted = cut(terms.select("dl", F.explode(F.array_append(F.array_distinct("tk"), F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length")))
+    counted = cut(said.select("dl", F.explode(F.array_append(F.filter(F.array_distinct(F.split("said", " ")), lambda w: w != ""), F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length")))
     corpus = counted.where("term = ''").first()
     if corpus is None or not corpus["length"]:
-        return top(spark.createDataFrame([], schema), k)
+        return top(terms.sparkSession.createDataFrame([], f"query_id {qkind}, id {terms.schema['id'].dataType.simpleString()}, score double"), k)
     n, avgdl = corpus["df"], corpus["length"] / corpus["df"]
-    blocks = -(-asked.select("query_id").distinct().count() // block)
-    found = None
-    for i in range(blocks):
-        pdf = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).join(counted.select("term", "df"), "term").toPandas()
+
+    def pack(pdf: pd.DataFrame) -> bytes:
         words = pdf[["term", "df"]].drop_duplicates().sort_values(["df", "term"], ascending=[False, True])
         names = pdf["query_id"].drop_duplicates().tolist()
-        q, t = pdf["query_id"].map({x: j for j, x in enumerate(names)}).to_numpy(int), pdf["term"].map({x: j for j, x in enumerate(words["term"])}).to_numpy(int)
-        said = np.zeros((len(names), min(heavy, len(words))))
-        said[q[t < heavy], t[t < heavy]] = 1
+        q = pdf["query_id"].map({x: j for j, x in enumerate(names)}).to_numpy(np.int32)
+        t = pdf["term"].map({x: j for j, x in enumerate(words["term"])}).to_numpy(np.int32)
+        return pickle.dumps((names, words["term"].tolist(), words["df"].to_numpy(float), q, t))
+
+    def scorer(payload: bytes) -> tuple[list, Callable]:
+        names, words, df, q, t = pickle.loads(payload)
+        weight, dense = np.log(1 + (n - df + 0.5) / (df + 0.5)), min(heavy, len(words))
+        asks = np.zeros((len(names), dense))
+        asks[q[t < dense], t[t < dense]] = 1
         order = np.argsort(t, kind="stable")
         of = np.split(q[order], np.searchsorted(t[order], np.arange(1, len(words))))  # the queries of every word
-        df = words["df"].to_numpy(float)
-        part = spark.sparkContext.broadcast((names, words["term"].tolist(), np.log(1 + (n - df + 0.5) / (df + 0.5)), said, of))
-
-        def best(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            names, words, weight, said, of = part.value
-            vocabulary, least, held = pa.array(words, pa.string()), np.zeros(len(names)), None
-            for batch in batches if words else ():
-                for at in range(0, batch.num_rows, width):
-                    docs = batch.slice(at, width)
-                    size, dl = docs.num_rows, docs.column("dl").to_numpy(zero_copy_only=False)
-                    word = pc.fill_null(pc.index_in(docs.column("tk").flatten(), value_set=vocabulary), -1).to_numpy().astype(np.int64)
-                    key, tf = np.unique((np.repeat(np.arange(size), dl) + size * word)[word >= 0], return_counts=True)
-                    t, d = np.divmod(key, size)
-                    w = weight[t] * tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl[d] / avgdl))
-                    cutoff = np.searchsorted(t, said.shape[1])
-                    dense = np.zeros((said.shape[1], size))
-                    dense[t[:cutoff], d[:cutoff]] = w[:cutoff]
-                    score = said @ dense
-                    light, start = np.unique(t[cutoff:], return_index=True)
-                    for x, lo, hi in zip(light.tolist(), start + cutoff, np.append(start[1:] + cutoff, len(t))):
-                        score[np.ix_(of[x], d[lo:hi])] += w[lo:hi]
-                    rounded = np.round(score, 9)
-                    if size > k:
-                        least = np.maximum(least, np.partition(rounded, size - k, axis=1)[:, size - k])
-                    q, j = np.nonzero((score > 0) & (rounded >= least[:, None]))
-                    if not len(q):
-                        continue
-                    new = pd.DataFrame({"q": q, "id": docs.column("id").to_pandas().to_numpy()[j], "score": score[q, j], "r": -rounded[q, j]})
-                    held = (new if held is None else pd.concat([held, new])).sort_values(["q", "r", "id"])
-                    rank = held.groupby("q").cumcount()
-                    kth = held[rank == k - 1]
-                    least[kth["q"]] = np.maximum(least[kth["q"]], -kth["r"])
-                    held = held[rank < k]
-            if held is not None:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": [names[x] for x in held["q"]], "id": held["id"].to_numpy(), "score": held["score"].to_numpy()}), preserve_index=False)
-
-        rows = terms.select("id", "dl", "tk").mapInArrow(best, schema)
-        found = rows if found is None else found.unionByName(rows)
-    return top(found if found is not None else spark.createDataFrame([], schema), k)
-
-
-def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
-    """Exact top k by dot product, in double precision. queries: query_id, q (array). The
-    stated query set goes out in blocks of about 4,096 vectors; each block is multiplied with
-    every batch of vectors, and only the batch's best k per query are shuffled."""
-    block = 4096
-    asked = queries.where("q is not null and query_id is not null")
-    spark = vectors.sparkSession
-    kind, qkind = vectors.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {qkind}, id {kind}, score double"
-    found = None
-    blocks = -(-asked.count() // block)
-    for i in range(blocks):
-        pdf = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()
-        part = spark.sparkContext.broadcast((pdf["query_id"].tolist(), np.array(pdf["q"].tolist(), float)))
-
-        def best(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            names, q = part.value
-            for df in batches:
-                df = df.sort_values("id", kind="stable").reset_index(drop=True)
-                if df.empty or not names:
-                    continue
-                s = q @ np.array(df["v"].tolist(), float).T
-                order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(names, order.shape[1]), "id": df["id"].to_numpy()[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
-
-        rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(best, schema)
-        found = rows if found is None else found.unionByName(rows)
-    return top(found if found is not None else spark.createDataFrame([], schema), k)
+        vocabulary = pa.array(words, pa.string())
+
+        def score(docs: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            size, dl = docs.num_rows, docs.column("dl").to_numpy(zero_copy_only=False)
+            split = pc.split_pattern(docs.column("said"), " ")
+            word = pc.fill_null(pc.index_in(split.flatten(), value_set=vocabulary), -1).to_numpy().astype(np.int64)
+            key, tf = np.unique((np.repeat(np.arange(size), np.diff(split.offsets.to_numpy())) + size * word)[word >= 0], return_counts=True)
+            x, d = np.divmod(key, size)
+            w = weight[x] * tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl[d] / avgdl))
+            cutoff = np.searchsorted(x, dense)
+            matrix = np.zeros((dense, size))
+            matrix[x[:cutoff], d[:cutoff]] = w[:cutoff]
+            total = asks @ matrix
+            light, start = np.unique(x[cutoff:], return_index=True)
+            for y, lo, hi in zip(light.tolist(), start + cutoff, np.append(start[1:] + cutoff, len(x))):
+                total[np.ix_(of[y], d[lo:hi])] += w[lo:hi]
+            return total, total > 0
+
+        return names, score
+
+    ranked = said if allow is None else said.join(allow.select("id").distinct(), "id", "left_semi")
+    found = cut(in_blocks(ranked, _payloads(asked.join(counted.select("term", "df"), "term"), pack, block), scorer, qkind, k, width, sent))
+    said.unpersist()
+    return found
+
+
+def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, block: int = BLOCK, sent: int = SENT) -> DataFrame:
+    """Exact top k by dot product, in double precision. queries: query_id, q (array). Null ids and
+    vectors take no part; vectors of different lengths are an error. Blocks of the stated query set
+    are multiplied with every batch of vectors, and only a task's best k per query are shuffled."""
+    asked = queries.where("q is not null and query_id is not null").select("query_id", "q")
+
+    def pack(pdf: pd.DataFrame) -> bytes:
+        return pickle.dumps((pdf["query_id"].tolist(), np.array(pdf["q"].tolist(), np.float64)))
+
+    def scorer(payload: bytes) -> tuple[list, Callable]:
+        names, q = pickle.loads(payload)
+
+        def score(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            v = rows.column("v").flatten().to_numpy().astype(np.float64).reshape(rows.num_rows, -1)
+            s = q @ v.T
+            return s, np.ones(s.shape, bool)
+
+        return names, score
+
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    return in_blocks(rows, _payloads(asked, pack, block), scorer, queries.schema["query_id"].dataType.simpleString(), k, sent=sent)
 
 
 def fuse(arms: list[tuple[DataFrame, float]], k: int = 10, rrf_k: int = RRF_K) -> DataFrame:

@@ -22,9 +22,8 @@ def _truths(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     """The spans of the ten best chunks of every question, each under all its clause ids."""
-    terms = _terms(spark, sf)
     asked = _golden(spark, sf).select(F.col("id").alias("query_id"), F.col("question").alias("text"))
-    best = R.bm25(R.postings(terms), R.corpus_stats(terms), asked)
+    best = R.bm25_blocks(_terms(spark, sf), asked)
     spans = table(spark, sf, "chunks").select(F.col("chunk_id").alias("id"), "span", F.array_distinct(F.concat(F.array("span.clause_id"), F.coalesce("meta.clause_ids", F.array().cast("array<string>")))).alias("c")).dropDuplicates(["id"])
     return best.join(spans, "id").select(F.col("query_id").alias("item_id"), "rank", "span.document_id", "span.page", F.explode_outer("c").alias("clause_id"))
 

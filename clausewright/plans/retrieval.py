@@ -28,8 +28,7 @@ def _shown(ranked: DataFrame) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf: str, **kw) -> DataFrame:  # noqa: ANN003
-    terms = _terms(spark, sf)
-    return _shown(R.bm25(R.postings(terms), R.corpus_stats(terms), _asked(spark, sf), **kw))
+    return _shown(R.bm25_blocks(_terms(spark, sf), _asked(spark, sf), **kw))
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
