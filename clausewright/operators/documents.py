@@ -116,13 +116,14 @@ def clause_chunks(docs: DataFrame, key: str, text: str, most: int = PROSE_CHARS)
     return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInPandas(rows, f"id {kind}, ordinal int, kind string, clause_id string, text string").withColumnRenamed("id", key)
 
 
-def table_rows(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, header, rows) of markdown tables: cells trimmed, the rule line dropped."""
+def table_rows(chunks: DataFrame, *keep: Column | str) -> DataFrame:
+    """(chunk_id, header, rows) of markdown tables, and what is to be kept of the chunk: cells trimmed, the rule line dropped."""
     cells = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     all_lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x).startswith("|"))
     grid = F.transform(F.filter(all_lines, lambda x: ~x.rlike(r"^[\s|:-]+$")), cells)
-    one = chunks.where("chunk_id is not null and kind = 'table_markdown'").select("chunk_id", "text").dropDuplicates(["chunk_id"])
-    return one.select("chunk_id", grid.alias("g")).where("size(g) > 0").select("chunk_id", F.col("g")[0].alias("header"), F.expr("slice(g, 2, size(g))").alias("rows"))
+    one = chunks.where("chunk_id is not null and kind = 'table_markdown'").select("chunk_id", "text", *keep).dropDuplicates(["chunk_id"])
+    kept = one.columns[2:]
+    return one.select("chunk_id", *kept, grid.alias("g")).where("size(g) > 0").select("chunk_id", *kept, F.col("g")[0].alias("header"), F.expr("slice(g, 2, size(g))").alias("rows"))
 
 
 def row_sentences(header: Column, row: Column) -> Column:

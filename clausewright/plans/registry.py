@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, evaluation, history, retrieval, runs
+from . import corpus, evaluation, history, ingest, retrieval, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (history, retrieval, evaluation, runs, corpus)
+MODULES = (history, retrieval, evaluation, runs, ingest, corpus)
 
 
 def queries() -> dict[str, Query]:
