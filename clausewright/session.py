@@ -1,8 +1,11 @@
-"""Session helpers: where lineage is cut, and how wide a shuffle should be."""
+"""Session helpers: where lineage is cut, and the package on the workers."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -10,14 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names, else one of our own (tests, local runs)."""
+    """The folder for checkpoints: the one the cluster names in spark.checkpoint.dir. Where none is named,
+    a local session gets one of its own, removed at its end; a cluster is refused, since a folder of
+    the driver's machine is none of its executors'."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="clausewright-"))
+        if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="clausewright-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            named = "file://" + own
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and forget the lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)
@@ -35,4 +51,5 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(to))
+    atexit.register(shutil.rmtree, to.parent, ignore_errors=True)
     sc._clausewright = True
