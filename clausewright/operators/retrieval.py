@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.normalise import search_tokens as tokens
 from ..session import cut
 
 K1, B, RRF_K = 1.5, 0.75, 60

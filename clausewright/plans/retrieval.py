@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 from ..sources.parquet import table
+from . import sql as Q
 
 AS_OF = "2023-06-30"
 
@@ -127,16 +128,20 @@ def confidence_coalesce(spark: SparkSession, sf: str) -> DataFrame:
     return fused.select("query_id", "id", F.round(R.confidence(F.lit(None).cast("double"), F.when(F.col("rank") <= 5, F.col("score")), F.col("score_1")), 6).alias("confidence"))
 
 
-def _tok(text: str) -> str:
-    return f"list_filter(regexp_extract_all(lower(coalesce({text}, '')), '([\\p{{L}}\\p{{N}}]+)', 1), lambda w: length(w) >= 2)"
+def _terms_sql(source: str) -> str:
+    """The inverted index of a source (id, text): documents with tokens, lengths, statistics, postings, frequencies."""
+    return f"""src as ({source}), {Q.normalised('nt_d', 'src')}, d as materialized (select id, {Q.tokens('text')} as tk from nt_d), dl as (select id, len(tk) as dl from d),
+    st as (select count(*) as n, avg(dl) as avgdl from dl), p as materialized (select id, term, count(*) as tf from (select id, unnest(tk) as term from d) group by all), df as (select term, count(*) as df from p group by 1)"""
 
 
-_CORPUS = f"""d as (select chunk_id as id, {_tok('text')} as tk from (select distinct chunk_id, text from chunks)), dl as (select id, len(tk) as dl from d),
-    st as (select count(*) as n, avg(dl) as avgdl from dl), p as (select id, term, count(*) as tf from (select id, unnest(tk) as term from d) group by all), df as (select term, count(*) as df from p group by 1)"""
-_DOCS = f"""d as (select doc_id as id, {_tok('text')} as tk from (select distinct doc_id, text from documents)), dl as (select id, len(tk) as dl from d),
-    st as (select count(*) as n, avg(dl) as avgdl from dl), p as (select id, term, count(*) as tf from (select id, unnest(tk) as term from d) group by all), df as (select term, count(*) as df from p group by 1)"""
-_ASKED = f"q as (select distinct id as query_id, unnest({_tok('question')}) as term from golden)"
-_DOC_ASKED = f"q as (select distinct doc_id as query_id, unnest({_tok('text')}) as term from documents where doc_id % 100 = 0)"
+def _asked_sql(source: str) -> str:
+    return f"qs as ({source}), {Q.normalised('nt_q', 'qs')}, q as (select distinct id as query_id, unnest({Q.tokens('text')}) as term from nt_q)"
+
+
+_CORPUS = _terms_sql("select chunk_id as id, any_value(text) as text from chunks where chunk_id is not null group by 1")
+_DOCS = _terms_sql("select doc_id as id, any_value(text) as text from documents where doc_id is not null group by 1")
+_ASKED = _asked_sql("select id, max(question) as text from golden where id is not null group by 1")
+_DOC_ASKED = _asked_sql("select doc_id as id, any_value(text) as text from documents where doc_id % 100 = 0 group by 1")
 
 
 def _bm25_sql(corpus: str, asked: str, k: int, k1: float = 1.5, b: float = 0.75, allow: str = "true") -> str:
