@@ -50,19 +50,33 @@ def clean_clause(clause: Column) -> Column:
     return F.when(c != "", c)
 
 
+# The form of a canonical clause id.
+CANONICAL = r"^(?:excl\.\d{2}|def\.[a-z][a-z0-9_]{1,38}|(?:[IVX]{1,4}|\d{1,2})(?:\.\d{1,3})*(?:\.[a-z]{1,3})?(?:\.table)?)$"
+
+
 def canonical_clause(value: Column) -> Column:
-    """excl.NN, def.slug, or dotted parts without spaces where roman numbers keep their case; null if it is none."""
+    """excl.NN, def.slug, or dotted parts without blanks, letters but roman numbers in lower case; null if it is none."""
     v = F.regexp_replace(F.trim(value), r"\.+$", "")
-    excl = F.regexp_extract(v, r"(?i)^(?:code\s+)?excl[.\s]*(\d{1,2})$", 1)
-    term = F.regexp_extract(v, r"(?i)^def(?:inition)?[.:\s]+(.+)$", 1)
-    bare = F.regexp_replace(F.regexp_replace(v, r"(?i)^(?:section|sec|clause|cl)\.?\s*", ""), r"\s+", "")
-    parts = F.array_join(F.transform(F.split(bare, r"\."), lambda p: F.when(p.rlike("^[IVX]{1,4}$"), p).otherwise(F.lower(p))), ".")
-    return F.when(excl != "", F.concat(F.lit("excl."), F.lpad(excl, 2, "0"))).when(term != "", F.concat(F.lit("def."), slug(term))).when(parts.rlike(r"^(?:[IVX]{1,4}|\d{1,2})(?:\.(?:\d{1,3}|[a-z]|[ivx]{1,4}|[IVX]{1,4}|table))*$"), parts)
+    excl = F.regexp_extract(v, r"(?i)^(?:code[\s.]*)?excl[\s.]*(\d{1,2})$", 1)
+    term = F.when(v.rlike(r"(?i)^def(?:inition)?[. ]"), F.regexp_extract(v, r"(?i)^(?:def(?:inition)?[\s.]+)?([A-Za-z][A-Za-z0-9 /&'-]{1,38})$", 1)).otherwise(F.lit(""))
+    bare = F.replace(F.regexp_replace(v, r"(?i)^(?:section|sec|clause|cl)[\s.]*", ""), F.lit(" "), F.lit(""))
+    parts = F.array_join(F.transform(F.split(bare, r"\."), lambda p: F.when(p.rlike(r"^\p{L}+$") & ~p.rlike("(?i)^[IVX]{1,4}$"), F.lower(p)).otherwise(p)), ".")
+    return F.when(excl != "", F.concat(F.lit("excl."), F.lpad(excl, 2, "0"))).when(term != "", F.concat(F.lit("def."), slug(term))).when(parts.rlike(CANONICAL), parts)
+
+
+def concept_problem(concept: Column, known: Column) -> Column:
+    """Null for a concept of the vocabulary `known` (an array); else the members that share its first six letters."""
+    start = F.substring(F.element_at(F.split(concept, r"\."), -1), 1, 6)
+    return F.when(F.array_contains(known, concept), F.lit(None)).otherwise(F.concat(F.lit("unknown; near: "), F.array_join(F.array_sort(F.filter(known, lambda k: F.contains(k, start))), ", ")))
+
+
+# Shapes of keys.
+KEYS = (r"(AIza[0-9A-Za-z_\-]{2})[0-9A-Za-z_\-]{18,}", r"(sk-[0-9A-Za-z_\-]{3})[0-9A-Za-z_\-]{17,}", r"(AQ\.[0-9A-Za-z_\-]{3})[0-9A-Za-z_\-]{17,}", r"(ghp_[0-9A-Za-z]{2})[0-9A-Za-z]{20,}")
 
 
 def redact(text: Column) -> Column:
-    """Keys of known shapes keep their first characters."""
-    for shape in (r"(AIza[0-9A-Za-z_\-]{2})[0-9A-Za-z_\-]{18,}", r"(sk-[0-9A-Za-z]{3})[0-9A-Za-z_\-]{12,}", r"(ghp_[0-9A-Za-z]{2})[0-9A-Za-z]{20,}"):
+    """Keys of known shapes keep their first six characters."""
+    for shape in KEYS:
         text = F.regexp_replace(text, shape, "$1...REDACTED")
     return text
 

@@ -9,12 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import slug
+from ..functions.text import CANONICAL, slug
 from . import documents as D
 
-# The compound form of a clause id, and the form of a canonical id.
+# The compound form of a clause id.
 COMPOUND = r"(?i)\b([IVXLCDM]+)\s*[-–]\s*Section\s+(\d{1,2})\s*([a-z])?\."
-CANONICAL = r"^(?:excl\.\d{2}|def\.[a-z][a-z0-9_]{1,38}|(?:[IVX]{1,4}|\d{1,2})(?:\.\d{1,3})*(?:\.[a-z]{1,3})?(?:\.table)?)$"
 # What a heading looks like on a page.
 HEADINGS = {
     "numbered_clause": r"^\s{0,6}(\d+(?:\.\d+){0,3})[\.\)]?\s+\S", "section_roman": r"(?i)^\s{0,6}SECTION\s+[IVXLCDM]+\b", "section_numeric": r"(?i)^\s{0,6}SECTION\s+\d+\b", "all_caps": r"^\s{0,6}[A-Z][A-Z0-9 \-&/(),\.]{6,80}$",

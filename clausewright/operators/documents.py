@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import rows_match
+
 # The patterns of clause recognition.
 SECTION = r"(?i)^\s{0,8}Section\s+([IVXLCDM]+|\d{1,2})\b"
 NUMBERED = r"^\s{0,8}(\d{1,2}(?:\.\d{1,3}){0,3})[\.\)]\s"
@@ -16,7 +18,7 @@ EXCLUSION = r"(?i)\bCode\s+Excl\s*(\d{2})\b"
 PAGE_NUMBER = r"^\s*\d{1,3}\s*(?:/|of)\s*\d{1,3}\s*$"
 DEFINITIONS = r"(?i)^\s{0,8}(?:(?:[IVXLCDM]+|\d{1,2}(?:\.\d{1,2})*)[\s.)\-]*)?(?:standard|specific|general)?\s*definitions?\s*:?\s*$"
 SUB_CLAUSE = r"^[ \t]{0,10}\(?(?:[ivxlcdm]{1,5}|[A-Za-z]|\d{1,2})[.)][ \t]"
-PROSE_CHARS, TABLE_CHARS = 1200, 1400
+PROSE_CHARS = 1200
 
 
 def lines(chunks: DataFrame) -> DataFrame:
@@ -140,13 +142,17 @@ def markdown(header: Column, rows: Column) -> Column:
 def stitch(fragments: DataFrame) -> DataFrame:
     """(source_id, table_no, fragments, pages, header, rows): a fragment goes on when it is on the next page,
     the last one reaches the bottom (within 90), it starts at the top (140), and the columns agree
-    within 24. A repeated header row is dropped; another internal header becomes a row.
-    fragments: source_id, page, index_on_page, y0, y1, page_height, col_xs, header, rows."""
+    within 24, or where neither has known columns, its edges. A repeated header row is dropped, letter
+    case and blank cells aside; another internal header becomes a row.
+    fragments: source_id, page, index_on_page, y0, y1, page_height, col_xs, header, rows; x0, x1 if known."""
     w = Window.partitionBy("source_id").orderBy("page", "index_on_page")
     prev = lambda c: F.lag(c).over(w)
     same = F.forall(F.zip_with("col_xs", prev("col_xs"), lambda a, b: F.coalesce(F.abs(a - b) <= 24, F.lit(False))), lambda x: x)
+    if {"x0", "x1"} <= set(fragments.columns):
+        bare = (F.size("col_xs") <= 0) & (F.size(prev("col_xs")) <= 0)
+        same = F.when(bare, (F.abs(F.col("x0") - prev("x0")) <= 24) & (F.abs(F.col("x1") - prev("x1")) <= 24)).otherwise(same)
     goes_on = (F.col("page") == prev("page") + 1) & (prev("y1") >= prev("page_height") - 90) & (F.col("y0") <= 140) & (F.size("col_xs") == F.size(prev("col_xs"))) & same
     numbered = fragments.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("table_no", F.sum("new").over(w))
     parts = numbered.groupBy("source_id", "table_no").agg(F.array_sort(F.collect_list(F.struct("page", "index_on_page", "header", "rows"))).alias("p"))
-    rows = F.flatten(F.transform("p", lambda x, i: F.when((i == 0) | (x["header"] == F.col("p")[0]["header"]), x["rows"]).otherwise(F.concat(F.array(x["header"]), x["rows"]))))
+    rows = F.flatten(F.transform("p", lambda x, i: F.when((i == 0) | rows_match(x["header"], F.col("p")[0]["header"]), x["rows"]).otherwise(F.concat(F.array(x["header"]), x["rows"]))))
     return parts.select("source_id", "table_no", F.size("p").alias("fragments"), F.transform("p", lambda x: x["page"]).alias("pages"), F.col("p")[0]["header"].alias("header"), rows.alias("rows"))

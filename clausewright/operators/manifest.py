@@ -11,7 +11,7 @@ from .evaluation import violations
 def source_rules(sources: DataFrame) -> DataFrame:
     """(id, rule) of broken row rules."""
     return violations(sources, "id", [
-        ("rank_range", ~F.col("authority_rank").between(1, 3)), ("self_supersession", (F.col("superseded_by") == F.col("id")) | F.array_contains("supersedes", F.col("id"))), ("brochure", F.col("kind") == "brochure"),
+        ("rank_range", ~F.col("authority_rank").between(1, 3)), ("self_supersession", (F.col("superseded_by") == F.col("id")) | F.array_contains("supersedes", F.col("id"))), ("brochure", F.col("kind") == "brochure"), ("fixture_rank", (F.col("kind") == "adversarial_fixture") & (F.col("authority_rank") != 3)),
         ("superseded_without_end", F.col("superseded_by").isNotNull() & F.col("effective_to").isNull()), ("period_reversed", F.col("effective_from") > F.col("effective_to")),
     ])
 
@@ -46,3 +46,35 @@ def resolve_spans(spans: DataFrame, clauses: DataFrame, census: DataFrame) -> Da
     )
     found = both.select("item_id", "truth_idx", case.alias("f")).where("f is not null")
     return found.select("item_id", "truth_idx", F.substring_index("f", ":", 1).alias("severity"), F.substring_index("f", ":", -1).alias("rule"))
+
+
+def item_findings(spans: DataFrame, bans: DataFrame, clauses: DataFrame, concepts: DataFrame, census: DataFrame) -> DataFrame:
+    """(item_id, truth_idx, severity, rule): everything that can be said of the spans and bans of the items.
+
+    spans: item_id, truth_idx, document_id, page, clause_id, concept; bans: item_id, pattern; clauses:
+    document_id, clause_id, page; concepts: document_id, concept, page. An unknown document ends the
+    check of a span. A clause on more than three pages is confirmed by a concept that its page shows;
+    nothing can confirm it without one. Findings on bans have no truth_idx."""
+    pages = clauses.groupBy("document_id", "clause_id").agg(F.collect_set("page").alias("on"))
+    shown = concepts.groupBy("document_id", "concept").agg(F.collect_set("page").alias("seen"))
+    known = census.select(F.col("source_id").alias("document_id"), "n_pages")
+    both = spans.join(known, "document_id", "left").join(pages, ["document_id", "clause_id"], "left").join(shown, ["document_id", "concept"], "left")
+    here, asked = F.array_contains("seen", F.col("page")), F.col("concept").isNotNull() & F.col("page").isNotNull()
+    confirmed = F.when(asked & F.col("seen").isNotNull(), here)  # null: no check was possible
+    portable = F.col("clause_id").rlike("^(excl|def)[.]")
+    wide = (F.size("on") > 3) & F.coalesce(confirmed, F.lit(True))
+    about_clause = (
+        F.when(F.col("clause_id").isNull(), "WARN:no_clause").when(F.col("on").isNull() & portable, "UNVERIFIABLE:clause_absent").when(F.col("on").isNull(), "ERROR:clause_absent")
+        .when(F.col("page").isNotNull() & ~F.array_contains("on", F.col("page")), "ERROR:clause_elsewhere").when(wide & F.coalesce(confirmed, F.lit(False)), "WARN:ambiguous_confirmed").when(wide, "UNVERIFIABLE:ambiguous")
+    )
+    found = F.when(F.col("n_pages").isNull(), F.array(F.lit("ERROR:unknown_document"))).otherwise(F.array(
+        F.when(F.col("page") > F.col("n_pages"), "ERROR:page_beyond_end"), F.when(asked & F.col("seen").isNull(), "WARN:concept_absent").when(asked & ~here, "ERROR:concept_elsewhere"), about_clause,
+    ))
+    of_spans = both.select("item_id", F.col("truth_idx").cast("bigint").alias("truth_idx"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f"))
+    of_bans = bans.select("item_id", F.substring_index("pattern", "#", 1).alias("document_id")).join(known, "document_id", "left_anti").select("item_id", F.lit(None).cast("bigint").alias("truth_idx"), F.lit("ERROR:ban_unknown_document").alias("f"))
+    return of_spans.unionByName(of_bans).select("item_id", "truth_idx", F.substring_index("f", ":", 1).alias("severity"), F.substring_index("f", ":", -1).alias("rule"))
+
+
+def blocking(findings: DataFrame) -> DataFrame:
+    """(item_id): items with an error, or with a label that nothing can check."""
+    return findings.where(F.col("severity").isin("ERROR", "UNVERIFIABLE")).select("item_id").distinct()

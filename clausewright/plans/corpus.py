@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import normalise as Z
 from ..functions import text as T
 from ..operators import answers as A
 from ..operators import documents as D
 from ..operators import manifest as M
 from ..sources.parquet import table
-from .evaluation import _A, _C, _T, _truths
+from . import sql as Q
+from .evaluation import _A, _C, _SLUG, _T, _canonical, _truths
 
 
-def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "chunks").dropDuplicates(["chunk_id"])
+def _once(spark: SparkSession, sf: str, *made: Column | str) -> DataFrame:
+    """What is wanted of every chunk, each chunk once: the columns are made before rows are compared, so
+    no text is shuffled unless it is asked for."""
+    return table(spark, sf, "chunks").select("chunk_id", *made).dropDuplicates(["chunk_id"])
 
 
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,20 +26,31 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def norm_numeric_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).select("chunk_id", F.array_join(T.numeric_spans(F.col("text")), "|").alias("numbers"))
+    return _once(spark, sf, F.array_join(T.numeric_spans(F.col("text")), "|").alias("numbers"))
 
 
-def norm_punct_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).select("chunk_id", F.md5(T.normalise(F.col("text"))).alias("digest"))
+def norm_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of every chunk in the normal form, and whether its figures would change by it."""
+    return _once(spark, sf, F.md5(Z.normalised(F.col("text"))).alias("digest"), Z.figures_changed(F.col("text")).alias("figures_changed"))
+
+
+def norm_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What normalising changes in the texts of each source."""
+    made = Z.change_counts(F.col("text"))
+    return _once(spark, sf, "source_id", *(c.alias(n) for n, c in made.items())).groupBy("source_id").agg(*(F.sum(n).alias(n) for n in made))
+
+
+def norm_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "golden").where("id is not null").groupBy("id").agg(F.max("question").alias("question")).select("id", Z.query_form(F.col("question")).alias("question"))
 
 
 def tokenise_counts(spark: SparkSession, sf: str) -> DataFrame:
-    t = T.tokens(F.col("text"))
-    return _chunks(spark, sf).select("chunk_id", F.size(t).cast("bigint").alias("tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("types"))
+    t = Z.search_tokens(F.col("text"))
+    return _once(spark, sf, F.size(t).cast("bigint").alias("tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("types"))
 
 
 def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).groupBy("kind").agg(F.floor(F.sum(F.length("text")) / 4).alias("tokens"))
+    return _once(spark, sf, "kind", F.length("text").alias("n")).groupBy("kind").agg(F.floor(F.sum("n") / 4).alias("tokens"))
 
 
 def term_slug(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,17 +58,26 @@ def term_slug(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clause_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).where("span.clause_id is not null").select(F.col("span.clause_id").alias("raw")).distinct().select("raw", T.canonical_clause(F.col("raw")).alias("clause_id"))
+    """The ids of spans, of lists of ids and of truths, as written and in canonical form."""
+    ids = table(spark, sf, "chunks").select(F.explode(F.concat(F.array("span.clause_id"), F.coalesce("meta.clause_ids", F.array().cast("array<string>")))).alias("raw"))
+    truths = table(spark, sf, "golden").select(F.explode("ground_truth_spans").alias("s")).select(F.col("s.clause_id").alias("raw"))
+    return ids.unionByName(truths).where("raw is not null").distinct().select("raw", T.canonical_clause(F.col("raw")).alias("clause_id"))
+
+
+def concept_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Products of the manifest as concept names, against the vocabulary of the evaluation items, with near misses."""
+    known = table(spark, sf, "golden").agg(F.array_sort(F.collect_set("concept_id")).alias("known"))
+    asked = table(spark, sf, "sources").where("product is not null").select(T.slug(F.col("product")).alias("concept")).distinct()
+    return asked.join(F.broadcast(known)).select("concept", T.concept_problem(F.col("concept"), F.col("known")).alias("problem"))  # one row
 
 
 def redact_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    """Each answer behind a key made of its digest, masked."""
-    keyed = F.concat(F.lit("AIza"), F.substring(F.md5(F.col("answer_id").cast("string")), 1, 30), F.lit(" "), F.coalesce("answer", F.lit("")))
-    return _answers(spark, sf).select("answer_id", T.redact(keyed).alias("text"))
+    """Every raw output with its keys masked."""
+    return _answers(spark, sf).select("answer_id", F.md5(T.redact(F.col("gen_raw"))).alias("digest"))
 
 
 def quote_cap(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).select("chunk_id", T.cap(F.col("text")).alias("quote"))
+    return _once(spark, sf, T.cap(F.col("text")).alias("quote"))
 
 
 def declined_answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,16 +85,16 @@ def declined_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def span_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).select("chunk_id", T.span_key(F.col("span")).alias("key"))
+    return _once(spark, sf, T.span_key(F.col("span")).alias("key"))
 
 
 def page_probe(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).select("chunk_id", *(c.alias(n) for n, c in D.page_measures(F.col("text")).items()))
+    return _once(spark, sf, *(c.alias(n) for n, c in D.page_measures(F.col("text")).items()))
 
 
 def document_probe(spark: SparkSession, sf: str) -> DataFrame:
     m = D.page_measures(F.col("text"))
-    pages = _chunks(spark, sf).where("source_id is not null").select("source_id", *(c.alias(n) for n, c in m.items()))
+    pages = _once(spark, sf, "source_id", *(c.alias(n) for n, c in m.items())).where("source_id is not null")
     return pages.groupBy("source_id").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.median("chars").alias("median_chars"), F.sum("ligatures").alias("ligatures"), F.sum("soft_hyphens").alias("soft_hyphens"), F.sum("nbsp").alias("nbsp"), F.sum("devanagari").alias("devanagari"), F.count_if(~F.col("has_text")).alias("without_text"))
 
 
@@ -86,7 +110,7 @@ def heading_totals(spark: SparkSession, sf: str) -> DataFrame:
 def locate_phrase(spark: SparkSession, sf: str) -> DataFrame:
     """The first hit of a phrase per chunk, with its surroundings."""
     at = F.locate("waiting period", F.lower("text"))
-    return _chunks(spark, sf).withColumn("at", at).where("at > 0").select("chunk_id", F.col("at").cast("bigint").alias("at"), F.expr("substring(text, greatest(at - 20, 1), 60)").alias("snippet"))
+    return table(spark, sf, "chunks").withColumn("at", at).where("at > 0").select("chunk_id", F.col("at").cast("bigint").alias("at"), F.expr("substring(text, greatest(at - 20, 1), 60)").alias("snippet")).dropDuplicates(["chunk_id"])
 
 
 def running_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +146,8 @@ def table_stitch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_report(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.round(F.avg(F.length("text").cast("double")), 1).alias("mean_chars"), F.count_if(F.length("text") > 1200).alias("oversize"))
+    n = _once(spark, sf, "kind", F.length("text").alias("size"))
+    return n.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("chars"), F.round(F.avg(F.col("size").cast("double")), 1).alias("mean_chars"), F.count_if(F.col("size") > 1200).alias("oversize"))
 
 
 def _census(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,34 +172,6 @@ def resolve_spans(spark: SparkSession, sf: str) -> DataFrame:
     return M.resolve_spans(_truths(spark, sf), clauses, _census(spark, sf)).select("item_id", F.col("truth_idx").cast("bigint").alias("truth_idx"), "severity", "rule")
 
 
-def raw_parse(spark: SparkSession, sf: str) -> DataFrame:
-    p = A.parsed(F.col("gen_raw"))
-    return _answers(spark, sf).where("gen_raw is not null").withColumn("p", p).where("p.citations is not null").select("answer_id", F.lower("p.can_answer").alias("can_answer"), F.array_join("p.citations", ",").alias("citations"))
-
-
-def citation_verify(spark: SparkSession, sf: str) -> DataFrame:
-    """Citations outside the first five passages make an answer ungrounded."""
-    bad = A.bad_citations(F.col("citations"), F.lit(5))
-    return _answers(spark, sf).select("answer_id", F.size(bad).cast("bigint").alias("bad"))
-
-
-def judge_abstain(spark: SparkSession, sf: str) -> DataFrame:
-    args = (F.col("judge_parsed"), F.col("judge_responsive"), F.col("judge_support"))
-    return _answers(spark, sf).select("answer_id", A.judge_abstains(*args).alias("abstains"), A.judge_abstains_strict(*args).alias("strict"))
-
-
-def answer_decision(spark: SparkSession, sf: str) -> DataFrame:
-    bad = F.size(A.bad_citations(F.col("citations"), F.lit(5)))
-    return _answers(spark, sf).select("answer_id", A.outcome(F.lit(5), F.lit(None).cast("string"), bad, F.when(~F.coalesce("declined", F.lit(False)), F.col("answer"))).alias("decision"))
-
-
-def usage_cost(spark: SparkSession, sf: str) -> DataFrame:
-    prices = spark.createDataFrame(A.PRICES, "model string, i string, o string").select("model", F.col("i").cast("decimal(18,6)").alias("in_rate"), F.col("o").cast("decimal(18,6)").alias("out_rate"))
-    model = F.element_at(F.array(*(F.lit(m) for m in ("flash-free", "flash-paid", "haiku", "local"))), (F.col("answer_id") % 4 + 1).cast("int"))
-    usage = _answers(spark, sf).select(model.alias("model"), F.floor(F.length(F.coalesce("gen_raw", F.lit(""))) / 4).alias("input"), F.floor(F.length(F.coalesce("answer", F.lit(""))) / 4).alias("output"))
-    return A.costs(usage, prices).select("model", "input", "output", F.col("usd").cast("double").alias("usd"))
-
-
 def run_log_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(spark, sf).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "ANSWER").alias("answered"), F.round(F.sum("wall_gen_s"), 4).alias("seconds"))
 
@@ -199,23 +196,41 @@ def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1, 9).select(F.col("id").alias("attempt"), F.least(F.lit(90.0), 0.25 * F.pow(F.lit(2.0), F.col("id") - 1)).alias("wait_s"))
 
 
-_NAMES = ["norm_numeric_spans", "norm_punct_fold", "tokenise_counts", "token_estimate", "term_slug", "clause_canonical", "redact_secrets", "quote_cap", "declined_answers", "span_keys", "page_probe", "document_probe", "page_ranges", "heading_totals", "locate_phrase", "running_lines", "clause_ids_on_line", "clause_chunks", "table_markdown", "table_row_sentences", "table_stitch", "build_report", "uncovered_pages", "manifest_violations", "superseded_ids", "resolve_spans", "raw_parse", "citation_verify", "judge_abstain", "answer_decision", "usage_cost", "run_log_summary", "resume_antijoin", "rate_limit_window", "rate_limit_accept", "retry_schedule"]
+_NAMES = ["norm_numeric_spans", "norm_full", "norm_changes", "norm_questions", "tokenise_counts", "token_estimate", "term_slug", "clause_canonical", "concept_check", "redact_secrets", "quote_cap", "declined_answers", "span_keys", "page_probe", "document_probe", "page_ranges", "heading_totals", "locate_phrase", "running_lines", "clause_ids_on_line", "clause_chunks", "table_markdown", "table_row_sentences", "table_stitch", "build_report", "uncovered_pages", "manifest_violations", "superseded_ids", "resolve_spans", "run_log_summary", "resume_antijoin", "rate_limit_window", "rate_limit_accept", "retry_schedule"]
 QUERIES = {n: globals()[n] for n in _NAMES}
-_TK = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '([\\p{L}\\p{N}]+)', 1), lambda w: length(w) >= 2)"
 _L = f"{_C}, l as (select chunk_id, source_id, span.page as page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from c)"
 _N = lambda ch: f"length(regexp_replace(coalesce(text, ''), '[^{ch}]', '', 'g'))"
 _PROBE = f"length(coalesce(text, '')) as chars, {_N('ﬀ-ﬆ')} as ligatures, {_N(chr(0xAD))} as soft_hyphens, {_N(chr(0xA0))} as nbsp, {_N('ऀ-ॿ')} as devanagari, {_N(chr(0xFFFD))} as replaced, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') as w, length(trim(coalesce(text, ''), ' ')) >= 80 as has_text"
 _CENSUS = "n as (select source_id, max(pages) as n_pages from probe_report where ok and pages is not null and source_id is not null group by 1)"
-_BAD = "len(list_filter(coalesce(citations, []), lambda x: x is null or x < 1 or x > 5))"
 _DECLINED = "(answer is null or regexp_replace(lower(trim(answer, ' ')), '^\\.+|\\.+$', '', 'g') in ('', 'null', 'none', 'n/a', 'na', 'nil', 'unknown', 'not applicable', '-'))"
 _GRID = f"{_C}, gr as (select chunk_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x, ' '), '|') and not regexp_full_match(x, '[\\s|:-]+')), lambda x: list_transform(string_split(regexp_replace(trim(x, ' '), '^\\||\\|$', '', 'g'), '|'), lambda y: trim(y, ' '))) as g from c where chunk_id is not null and kind = 'table_markdown'), tb as (select chunk_id, g[1] as header, g[2:] as rows from gr where len(g) > 0)"
+_NUMS = lambda t: f"list_transform(regexp_extract_all(coalesce({t}, ''), '(\\d[\\d,]*(?:\\.\\d+)?)', 1), lambda n: replace(n, ',', ''))"
+_NORMED = f"src as (select chunk_id as id, any_value(text) as text from chunks where chunk_id is not null group by 1), {Q.normalised('nt', 'src')}"
+_TXT = "coalesce(src.text, '')"
+_BARE = f"regexp_replace({_TXT}, '([\\d)/\\-])[{T.RAISED}]+', '\\1', 'g')"
+_LEN = lambda t, ch: f"(length({t}) - length(regexp_replace({t}, '[{ch}]', '', 'g')))"
+_CHANGES = {
+    "footnotes": f"length({_TXT}) - length({_BARE})", "zero_width": _LEN(_BARE, T.ZERO_WIDTH), "soft_hyphens": _LEN(_BARE, chr(0xAD)), "ligatures": _LEN(Q.stripped(_TXT), T.LIGATURES), "punctuation": _LEN("coalesce(nt.nfkc, '')", "".join(T.FOLDS)), "nbsp": _LEN(_TXT, chr(0xA0)), "chars_in": f"length({_TXT})", "chars_out": "length(coalesce(nt.text, ''))",
+}
+
+
+def _mask(text: str) -> str:
+    for shape in T.KEYS:
+        text = f"regexp_replace({text}, '{shape}', '\\1...REDACTED', 'g')"
+    return text
+
+
 ORACLES = {
     "norm_numeric_spans": f"with {_C} select chunk_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '(\\d[\\d,]*(?:\\.\\d+)?)', 1), lambda n: replace(n, ',', '')), '|') as numbers from c",
-    "norm_punct_fold": f"with {_C} select chunk_id, md5(translate(replace(translate(regexp_replace(regexp_replace(text, '([\\d)/\\-])[{T.RAISED}]+', '\\1', 'g'), '[{T.ZERO_WIDTH}{chr(0xAD)}]+', '', 'g'), '{''.join(T.FOLDS)}', '''''''''\"\"\"---'), '…', '...'), '{chr(0xA0)}', ' ')) as digest from c",
-    "tokenise_counts": f"with {_C} select chunk_id, len({_TK}) as tokens, len(list_distinct({_TK})) as types from c",
+    "tokenise_counts": f"with {_NORMED}, k as (select id as chunk_id, {Q.tokens('text')} as tk from nt) select chunk_id, len(tk) as tokens, len(list_distinct(tk)) as types from k",
+    "norm_full": f"with {_NORMED} select id as chunk_id, md5(nt.text) as digest, coalesce({_NUMS('src.text')} <> {_NUMS('nt.text')}, false) as figures_changed from nt join src using (id)",
+    "norm_changes": f"with {_NORMED}, {_C} select c.source_id, {', '.join(f'sum({x})::bigint as {n}' for n, x in _CHANGES.items())} from nt join src using (id) join c on c.chunk_id = id group by 1",
+    "norm_questions": f"with {Q.normalised('nt', '(select id, max(question) as text from golden where id is not null group by 1)')} select id, regexp_replace(text, '^[\\s\x0b\x0c\x85\xa0]+|[\\s\x0b\x0c\x85\xa0]+$', '', 'g') as question from nt",
+    "clause_canonical": f"with r as (select distinct unnest(list_concat([span.clause_id], coalesce(meta.clause_ids, []))) as raw from chunks union select distinct s.clause_id from (select unnest(ground_truth_spans) as s from golden)) select raw, {_canonical('raw')} as clause_id from r where raw is not null",
+    "concept_check": f"with k as (select list_sort(list(distinct concept_id) filter (concept_id is not null)) as known from golden), a as (select distinct {_SLUG('product')} as concept from sources where product is not null) select concept, case when not list_contains(known, concept) then 'unknown; near: ' || array_to_string(list_filter(known, lambda n: contains(n, substr(concept, 1, 6))), ', ') end as problem from a cross join k",
+    "redact_secrets": f"with {_A} select answer_id, md5({_mask('gen_raw')}) as digest from a",
     "token_estimate": f"with {_C} select kind, sum(length(text))::bigint // 4 as tokens from c group by 1",
     "term_slug": "select distinct product, regexp_replace(regexp_replace(lower(trim(product, ' ')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as slug from sources where product is not null",
-    "redact_secrets": f"with {_A} select answer_id, 'AIza' || substr(md5(answer_id::varchar), 1, 2) || '...REDACTED ' || coalesce(answer, '') as text from a",
     "quote_cap": f"with {_C} select chunk_id, case when length(text) > 300 then substr(text, 1, 300) || '…' else text end as quote from c",
     "declined_answers": f"with {_A} select answer_id from a where {_DECLINED}",
     "span_keys": f"with {_C} select chunk_id, coalesce(span.document_id, '') || '#' || coalesce(span.clause_id, '') || '@' || coalesce(span.page::varchar, '') as key from c",
@@ -233,16 +248,12 @@ ORACLES = {
         k as (select *, first_value(h) over (partition by source_id, table_no order by ix) as h0 from n) select source_id, table_no::bigint as table_no, count(*) as fragments, (count(*) + count(*) filter (h <> h0)) as n_rows from k group by 1, 2""",
     "build_report": f"with {_C} select kind, count(*) as n, sum(length(text))::bigint as chars, round(avg(length(text)), 1) as mean_chars, count(*) filter (length(text) > 1200) as oversize from c group by 1",
     "uncovered_pages": f"with {_CENSUS} select source_id, page from (select source_id, unnest(range(1, n_pages + 1))::int as page from n) except select source_id, unnest(pages) from chunks",
-    "manifest_violations": """with r as (select id, unnest([case when authority_rank not between 1 and 3 then 'rank_range' end, case when superseded_by = id or list_contains(supersedes, id) then 'self_supersession' end, case when kind = 'brochure' then 'brochure' end, case when superseded_by is not null and effective_to is null then 'superseded_without_end' end, case when effective_from > effective_to then 'period_reversed' end]) as rule from sources)
+    "manifest_violations": """with r as (select id, unnest([case when authority_rank not between 1 and 3 then 'rank_range' end, case when superseded_by = id or list_contains(supersedes, id) then 'self_supersession' end, case when kind = 'brochure' then 'brochure' end, case when kind = 'adversarial_fixture' and authority_rank <> 3 then 'fixture_rank' end, case when superseded_by is not null and effective_to is null then 'superseded_without_end' end, case when effective_from > effective_to then 'period_reversed' end]) as rule from sources)
         select * from r where rule is not null union all select id, 'duplicate_id' from sources group by 1 having count(*) > 1 union all select distinct id, rule from (select id, 'superseded_by_unknown' as rule, superseded_by as t from sources union all select id, 'supersedes_unknown', unnest(supersedes) from sources union all select id, 'parent_unknown', parent_document_id from sources) where t is not null and t not in (select id from sources)""",
     "superseded_ids": "select id from sources where superseded_by is not null union select unnest(supersedes) from sources",
     "resolve_spans": f"""with {_T}, {_CENSUS}, cl as (select span.document_id as document_id, span.clause_id as clause_id, list(distinct span.page) filter (span.page is not null) as pg from chunks where span.clause_id is not null group by 1, 2),
         b as (select item_id, truth_idx, case when n_pages is null then 'ERROR:unknown_document' when page > n_pages then 'ERROR:page_beyond_end' when t.clause_id is null then 'WARN:no_clause' when cl.clause_id is null and regexp_matches(t.clause_id, '^(excl|def)[.]') then 'UNVERIFIABLE:clause_absent' when cl.clause_id is null then 'ERROR:clause_absent' when page is not null and not list_contains(coalesce(pg, []), page) then 'ERROR:clause_elsewhere' when len(pg) > 3 then 'UNVERIFIABLE:ambiguous' end as f
         from t left join n on n.source_id = t.document_id left join cl on cl.document_id = t.document_id and cl.clause_id = t.clause_id) select item_id, truth_idx, split_part(f, ':', 1) as severity, split_part(f, ':', 2) as rule from b where f is not null""",
-    "citation_verify": f"with {_A} select answer_id, {_BAD} as bad from a",
-    "judge_abstain": f"with {_A} select answer_id, coalesce(judge_parsed, false) and (not coalesce(judge_responsive, false) or not list_contains(coalesce(judge_support, []), true)) as abstains, coalesce(judge_parsed, false) and (not coalesce(judge_responsive, false) or len(list_filter(coalesce(judge_support, []), lambda x: not coalesce(x, false))) > 0) as strict from a",
-    "answer_decision": f"with {_A} select answer_id, case when {_BAD} > 0 then 'malformed_generation' when coalesce(declined, false) or {_DECLINED} then 'low_confidence' else 'answered' end as decision from a",
-    "usage_cost": f"with {_A}, u as (select ['flash-free', 'flash-paid', 'haiku', 'local'][answer_id % 4 + 1] as model, sum(length(coalesce(gen_raw, '')) // 4)::bigint as input, sum(length(coalesce(answer, '')) // 4)::bigint as output from a group by 1) select model, input, output, (input * case model when 'flash-paid' then 0.1 when 'haiku' then 1 else 0 end + output * case model when 'flash-paid' then 0.4 when 'haiku' then 5 else 0 end)::double / 1e6 as usd from u",
     "run_log_summary": f"with {_A} select run_id, count(*) as n, count(*) filter (outcome = 'ANSWER') as answered, round(sum(wall_gen_s), 4) as seconds from a group by 1",
     "resume_antijoin": "select distinct id from golden where id is not null and id not in (select id from judge_validate where outcome = 'ANSWER' and id is not null)",
     "rate_limit_window": "select event_id, count(*) over (partition by user_id order by epoch(date_trunc('second', ts)) range between 3600 preceding and current row) as n from events",

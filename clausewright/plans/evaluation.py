@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_clause
+from ..functions.text import CANONICAL, canonical_clause, clean_clause
 from ..operators import evaluation as E
 from ..sources.parquet import table
 from .retrieval import _ASKED, _CORPUS, _bm25_sql, _terms
 from ..operators import retrieval as R
+from ..operators import runs as N
 
 
 def _golden(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,11 +41,12 @@ def metric_aggregate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def span_match_modes(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunk spans against the truths of the same document, counted under each mode."""
-    chunks = table(spark, sf, "chunks").dropDuplicates(["chunk_id"]).select("span.document_id", "span.clause_id", "span.page")
+    """Chunk spans against the truths of the same document, counted under each mode. Chunks with the
+    same place are counted first, so a document meets its truths once per place and not per chunk."""
+    chunks = table(spark, sf, "chunks").select("chunk_id", "span.document_id", "span.clause_id", "span.page").dropDuplicates(["chunk_id"]).groupBy("document_id", "clause_id", "page").agg(F.count("*").alias("m"))
     t = _truths(spark, sf).select("item_id", "truth_idx", "document_id", F.col("clause_id").alias("t_clause"), F.col("page").alias("t_page"))
     both = t.join(chunks, "document_id")
-    count = lambda mode: F.count_if(E.span_match(F.col("clause_id"), F.col("page"), F.col("t_clause"), F.col("t_page"), mode))
+    count = lambda mode: F.sum(F.when(E.span_match(F.col("clause_id"), F.col("page"), F.col("t_clause"), F.col("t_page"), mode), F.col("m")).otherwise(0))
     return both.groupBy("item_id", "truth_idx").agg(count("exact").alias("exact"), count("clause_prefix").alias("prefix"), count("page").alias("page"))
 
 
@@ -97,7 +99,8 @@ def latency_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def percentile_half_even(spark: SparkSession, sf: str) -> DataFrame:
-    return _waits(spark, sf).groupBy("run_id").agg(F.collect_list("s").alias("v")).select("run_id", E.half_even_percentile(F.col("v"), 95).alias("p95"), E.half_even_percentile(F.col("v"), 50).alias("p50"))
+    w = _waits(spark, sf)
+    return N.rank_percentile(w, ["run_id"], "s", 95, "p95").join(N.rank_percentile(w, ["run_id"], "s", 50, "p50"), "run_id")
 
 
 def gate_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,14 +121,20 @@ def composition_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def golden_violations(spark: SparkSession, sf: str) -> DataFrame:
-    spans, bans = F.coalesce(F.size("ground_truth_spans"), F.lit(0)), F.coalesce(F.size("must_not_cite"), F.lit(0))
-    spans, bans = F.greatest(spans, F.lit(0)), F.greatest(bans, F.lit(0))
-    does = F.col("expected_behaviour")
+    """All rules that an item breaks, at once."""
+    asked, reference = F.trim(F.coalesce("question", F.lit(""))), F.trim(F.coalesce("reference_answer", F.lit("")))
+    spans, bans = F.greatest(F.coalesce(F.size("ground_truth_spans"), F.lit(0)), F.lit(0)), F.greatest(F.coalesce(F.size("must_not_cite"), F.lit(0)), F.lit(0))
+    sides = F.size(F.array_distinct(F.transform("ground_truth_spans", lambda s: F.struct(s["document_id"], s["clause_id"]))))
+    places = F.size(F.array_distinct(F.transform("ground_truth_spans", lambda s: s["document_id"])))
+    does, stratum, fails = F.col("expected_behaviour"), F.col("strata"), F.coalesce("expected_to_fail", F.lit(False))
+    why = F.trim(F.coalesce("expected_failure_reason", F.lit("")))
     rules = [
-        ("question_short", F.length(F.trim(F.coalesce("question", F.lit("")))) < 10), ("answer_without_span", (does == "answer") & (spans == 0)), ("answer_without_reference", (does == "answer") & F.col("reference_answer").isNull()),
-        ("abstain_with_span", (does == "abstain") & (spans > 0)), ("override_needs_two_spans", (F.col("strata") == "conditional_override") & (spans < 2)), ("supersession_needs_ban", (F.col("strata") == "supersession") & (bans == 0)),
-        ("injection_needs_canary", (does == "ignore_injection") & F.col("injection_canary").isNull()), ("injection_behaviour", (F.col("strata") == "injection") & (does != "ignore_injection")), ("unanswerable_behaviour", (F.col("strata") == "unanswerable") & (does != "abstain")),
-        ("failure_needs_reason", F.coalesce("expected_to_fail", F.lit(False)) != F.col("expected_failure_reason").isNotNull()), ("ban_needs_concept", (bans > 0) & F.col("concept_id").isNull()),
+        ("question_empty", asked == ""), ("question_short", (asked != "") & (F.length(asked) < 10)), ("answer_without_span", (does == "answer") & (spans == 0)), ("answer_without_reference", (does == "answer") & (reference == "")),
+        ("abstain_with_span", (does == "abstain") & (spans > 0)), ("override_needs_two_spans", (stratum == "conditional_override") & (spans < 2)), ("conflict_needs_two_sides", (does == "surface_conflict") & (F.coalesce(sides, F.lit(0)) < 2)),
+        ("contradiction_needs_two_documents", (stratum == "contradictory") & (F.coalesce(places, F.lit(0)) < 2)), ("supersession_needs_ban", (stratum == "supersession") & (bans == 0)), ("supersession_behaviour", (stratum == "supersession") & (does != "answer")),
+        ("injection_needs_canary", (does == "ignore_injection") & (F.coalesce("injection_canary", F.lit("")) == "")), ("injection_behaviour", (stratum == "injection") & (does != "ignore_injection")), ("unanswerable_behaviour", (stratum == "unanswerable") & (does != "abstain")),
+        ("needs_concept", (stratum.isin("contradictory", "cross_doc_comparison", "conditional_override") | (bans > 0)) & F.col("concept_id").isNull()), ("clause_form", F.exists("ground_truth_spans", lambda s: s["clause_id"].isNotNull() & canonical_clause(s["clause_id"]).isNull())),
+        ("failure_needs_reason", fails & (why == "")), ("reason_needs_failure", ~fails & (F.coalesce("expected_failure_reason", F.lit("")) != "")), ("ban_form", F.exists("must_not_cite", lambda p: F.coalesce((p == "") | p.startswith("#"), F.lit(True)))),
     ]
     return E.violations(_golden(spark, sf), "id", rules)
 
@@ -151,11 +160,26 @@ _NAMES = ("recall", "precision", "mrr", "ndcg", "hit_rate")
 _STM = lambda mode: {"exact": f"case when {_CLEAN('c.clause_id')} is null or {_CLEAN('t.clause_id')} is null then {_PAGE('c.page', 't.page')} else {_CLEAN('c.clause_id')} = {_CLEAN('t.clause_id')} end", "page": _PAGE("c.page", "t.page")}.get(mode, _MATCH.replace("r.", "c."))
 
 QUERIES = {f.__name__: f for f in (retrieval_scores, metric_aggregate, span_match_modes, must_not_cite, cohens_kappa, kappa_disagreements, calibration_cost, metric_slices, latency_summary, percentile_half_even, gate_check, stratified_subset, composition_counts, golden_violations)}
-_SPANS = "(ground_truth_spans is null or len(ground_truth_spans) = 0)"
+_SLUG = lambda x: f"regexp_replace(regexp_replace(lower(trim({x}, ' ')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+def _canonical(x: str) -> str:
+    v = f"regexp_replace(trim({x}, ' '), '\\.+$', '')"
+    excl = f"regexp_extract({v}, '(?i)^(?:code[\\s.]*)?excl[\\s.]*(\\d{{1,2}})$', 1)"
+    term = f"regexp_extract({v}, '(?i)^(?:def(?:inition)?[\\s.]+)?([A-Za-z][A-Za-z0-9 /&''-]{{1,38}})$', 1)"
+    bare = f"replace(regexp_replace({v}, '(?i)^(?:section|sec|clause|cl)[\\s.]*', ''), ' ', '')"
+    parts = f"array_to_string(list_transform(string_split({bare}, '.'), lambda zz: case when regexp_full_match(zz, '\\p{{L}}+') and not regexp_full_match(zz, '(?i)[IVX]{{1,4}}') then lower(zz) else zz end), '.')"
+    return f"case when {excl} <> '' then 'excl.' || lpad({excl}, 2, '0') when regexp_matches({v}, '(?i)^def(?:inition)?[. ]') and {term} <> '' then 'def.' || {_SLUG(term)} when regexp_full_match({parts}, '{CANONICAL[1:-1]}') then {parts} end"
+
+
+_N_SPANS, _N_BANS = "coalesce(len(ground_truth_spans), 0)", "coalesce(len(must_not_cite), 0)"
 _RULES = [
-    ("question_short", "length(trim(coalesce(question, ''))) < 10"), ("answer_without_span", f"expected_behaviour = 'answer' and {_SPANS}"), ("answer_without_reference", "expected_behaviour = 'answer' and reference_answer is null"), ("abstain_with_span", f"expected_behaviour = 'abstain' and not {_SPANS}"),
-    ("override_needs_two_spans", "strata = 'conditional_override' and coalesce(len(ground_truth_spans), 0) < 2"), ("supersession_needs_ban", "strata = 'supersession' and coalesce(len(must_not_cite), 0) = 0"), ("injection_needs_canary", "expected_behaviour = 'ignore_injection' and injection_canary is null"),
-    ("injection_behaviour", "strata = 'injection' and expected_behaviour <> 'ignore_injection'"), ("unanswerable_behaviour", "strata = 'unanswerable' and expected_behaviour <> 'abstain'"), ("failure_needs_reason", "coalesce(expected_to_fail, false) <> (expected_failure_reason is not null)"), ("ban_needs_concept", "coalesce(len(must_not_cite), 0) > 0 and concept_id is null"),
+    ("question_empty", "trim(coalesce(question, ''), ' ') = ''"), ("question_short", "trim(coalesce(question, ''), ' ') <> '' and length(trim(question, ' ')) < 10"), ("answer_without_span", f"expected_behaviour = 'answer' and {_N_SPANS} = 0"), ("answer_without_reference", "expected_behaviour = 'answer' and trim(coalesce(reference_answer, ''), ' ') = ''"),
+    ("abstain_with_span", f"expected_behaviour = 'abstain' and {_N_SPANS} > 0"), ("override_needs_two_spans", f"strata = 'conditional_override' and {_N_SPANS} < 2"), ("conflict_needs_two_sides", "expected_behaviour = 'surface_conflict' and coalesce(len(list_distinct(list_transform(ground_truth_spans, lambda s: s.document_id || '#' || coalesce(s.clause_id, chr(1))))), 0) < 2"),
+    ("contradiction_needs_two_documents", "strata = 'contradictory' and coalesce(len(list_distinct(list_transform(ground_truth_spans, lambda s: s.document_id))), 0) < 2"), ("supersession_needs_ban", f"strata = 'supersession' and {_N_BANS} = 0"), ("supersession_behaviour", "strata = 'supersession' and expected_behaviour <> 'answer'"),
+    ("injection_needs_canary", "expected_behaviour = 'ignore_injection' and coalesce(injection_canary, '') = ''"), ("injection_behaviour", "strata = 'injection' and expected_behaviour <> 'ignore_injection'"), ("unanswerable_behaviour", "strata = 'unanswerable' and expected_behaviour <> 'abstain'"),
+    ("needs_concept", f"(strata in ('contradictory', 'cross_doc_comparison', 'conditional_override') or {_N_BANS} > 0) and concept_id is null"), ("clause_form", f"len(list_filter(ground_truth_spans, lambda s: s.clause_id is not null and ({_canonical('s.clause_id')}) is null)) > 0"),
+    ("failure_needs_reason", "coalesce(expected_to_fail, false) and trim(coalesce(expected_failure_reason, ''), ' ') = ''"), ("reason_needs_failure", "not coalesce(expected_to_fail, false) and coalesce(expected_failure_reason, '') <> ''"), ("ban_form", "len(list_filter(must_not_cite, lambda p: coalesce(p = '' or starts_with(p, '#'), true))) > 0"),
 ]
 ORACLES = {
     "retrieval_scores": f"{_SCORES} select item_id, {', '.join(f'round({m}, 6) as {m}' for m in _NAMES)} from sc",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import CANONICAL
 from ..operators import clauses as L
 from ..operators import documents as D
 from ..operators import tables as B
@@ -169,7 +170,7 @@ _Q = lambda p: p.replace("'", "''")
 _INDEX = f"""ln as (select source_id, page, line from (select source_id, page, unnest(string_split(text, chr(10))) as line from pp) where not regexp_matches(line, '(?i){D.PAGE_NUMBER}')),
     mt as (select source_id, page, 'section' as pattern, regexp_extract(line, '{_Q(D.SECTION)}', 1) as raw from ln union all select source_id, page, 'numbered', regexp_extract(line, '{_Q(D.NUMBERED)}', 1) from ln union all select source_id, page, 'definition', regexp_extract(line, '{_Q(D.DEFINITION)}', 1) from ln
       union all select source_id, page, 'excl_code', unnest(regexp_extract_all(text, '{_Q(D.EXCLUSION)}', 1)) from pp union all select source_id, page, 'compound', unnest(list_transform(regexp_extract_all(text, '{_Q(L.COMPOUND)}', 0), lambda x: upper(regexp_extract(x, '{_Q(L.COMPOUND)}', 1)) || '.' || regexp_extract(x, '{_Q(L.COMPOUND)}', 2) || case when regexp_extract(x, '{_Q(L.COMPOUND)}', 3) <> '' then '.' || lower(regexp_extract(x, '{_Q(L.COMPOUND)}', 3)) else '' end)) from pp),
-    ci as (select distinct source_id as document_id, case pattern when 'excl_code' then 'excl.' || raw when 'definition' then 'def.' || {_SLUG('raw')} else raw end as clause_id, page, pattern from mt where raw <> '' and regexp_full_match(case pattern when 'excl_code' then 'excl.' || raw when 'definition' then 'def.' || {_SLUG('raw')} else raw end, '{L.CANONICAL[1:-1]}'))"""
+    ci as (select distinct source_id as document_id, case pattern when 'excl_code' then 'excl.' || raw when 'definition' then 'def.' || {_SLUG('raw')} else raw end as clause_id, page, pattern from mt where raw <> '' and regexp_full_match(case pattern when 'excl_code' then 'excl.' || raw when 'definition' then 'def.' || {_SLUG('raw')} else raw end, '{CANONICAL[1:-1]}'))"""
 _HITS = "an as (select distinct concept_id as concept, lower(replace(split_part(concept_id, '.', -1), '_', ' ')) as phrase from golden where concept_id is not null), hc as (select distinct source_id as document_id, concept, page from pp join an on contains(lower(pp.text), phrase) where phrase <> '')"
 _CNT = lambda ch: f"len(regexp_extract_all(text, '{ch}'))"
 _WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')"
