@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, evaluation, history, ingest, retrieval, runs, stores
+from . import answering, corpus, evaluation, history, ingest, retrieval, runs, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (history, retrieval, evaluation, runs, ingest, stores, corpus)
+MODULES = (history, retrieval, evaluation, runs, ingest, stores, answering, corpus)
 
 
 def queries() -> dict[str, Query]:
