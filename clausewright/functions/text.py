@@ -58,7 +58,7 @@ def canonical_clause(value: Column) -> Column:
     """excl.NN, def.slug, or dotted parts without blanks, letters but roman numbers in lower case; null if it is none."""
     v = F.regexp_replace(F.trim(value), r"\.+$", "")
     excl = F.regexp_extract(v, r"(?i)^(?:code[\s.]*)?excl[\s.]*(\d{1,2})$", 1)
-    term = F.when(v.rlike(r"(?i)^def(?:inition)?[. ]"), F.regexp_extract(v, r"(?i)^(?:def(?:inition)?[\s.]+)?([A-Za-z][A-Za-z0-9 /&'-]{1,38})$", 1)).otherwise(F.lit(""))
+    term = F.when(v.rlike(r"(?i)^def(?:inition)?[.: ]"), F.regexp_extract(v, r"(?i)^(?:def(?:inition)?[\s.:]+)?([A-Za-z][A-Za-z0-9 /&'-]{1,38})$", 1)).otherwise(F.lit(""))
     bare = F.replace(F.regexp_replace(v, r"(?i)^(?:section|sec|clause|cl)[\s.]*", ""), F.lit(" "), F.lit(""))
     parts = F.array_join(F.transform(F.split(bare, r"\."), lambda p: F.when(p.rlike(r"^\p{L}+$") & ~p.rlike("(?i)^[IVX]{1,4}$"), F.lower(p)).otherwise(p)), ".")
     return F.when(excl != "", F.concat(F.lit("excl."), F.lpad(excl, 2, "0"))).when(term != "", F.concat(F.lit("def."), slug(term))).when(parts.rlike(CANONICAL), parts)

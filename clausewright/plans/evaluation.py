@@ -166,10 +166,10 @@ _SLUG = lambda x: f"regexp_replace(regexp_replace(lower(trim({x}, ' ')), '[^a-z0
 def _canonical(x: str) -> str:
     v = f"regexp_replace(trim({x}, ' '), '\\.+$', '')"
     excl = f"regexp_extract({v}, '(?i)^(?:code[\\s.]*)?excl[\\s.]*(\\d{{1,2}})$', 1)"
-    term = f"regexp_extract({v}, '(?i)^(?:def(?:inition)?[\\s.]+)?([A-Za-z][A-Za-z0-9 /&''-]{{1,38}})$', 1)"
+    term = f"regexp_extract({v}, '(?i)^(?:def(?:inition)?[\\s.:]+)?([A-Za-z][A-Za-z0-9 /&''-]{{1,38}})$', 1)"
     bare = f"replace(regexp_replace({v}, '(?i)^(?:section|sec|clause|cl)[\\s.]*', ''), ' ', '')"
     parts = f"array_to_string(list_transform(string_split({bare}, '.'), lambda zz: case when regexp_full_match(zz, '\\p{{L}}+') and not regexp_full_match(zz, '(?i)[IVX]{{1,4}}') then lower(zz) else zz end), '.')"
-    return f"case when {excl} <> '' then 'excl.' || lpad({excl}, 2, '0') when regexp_matches({v}, '(?i)^def(?:inition)?[. ]') and {term} <> '' then 'def.' || {_SLUG(term)} when regexp_full_match({parts}, '{CANONICAL[1:-1]}') then {parts} end"
+    return f"case when {excl} <> '' then 'excl.' || lpad({excl}, 2, '0') when regexp_matches({v}, '(?i)^def(?:inition)?[.: ]') and {term} <> '' then 'def.' || {_SLUG(term)} when regexp_full_match({parts}, '{CANONICAL[1:-1]}') then {parts} end"
 
 
 _N_SPANS, _N_BANS = "coalesce(len(ground_truth_spans), 0)", "coalesce(len(must_not_cite), 0)"
