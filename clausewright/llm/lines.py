@@ -1,19 +1,23 @@
 """Lines repeated across the records of one source (problem 3), kept as incremental count tables.
 
-The state has two tables: `counts` (source, line key, number of different records with the line)
-and `seen` (record ids already counted). A new partition of records is a delta: its own counts are
-merged into the table, the lines whose count reaches the limit by this merge are the crossings, and
-only records with a newly crossed line are rebuilt. Counting a partition twice, or a record that was
-delivered again, changes nothing.
+The state has three tables: `counts` (source, line key, number of different records with the line),
+`places` (source, line key, record, line number) and `seen` (record, digest of the text counted). A new
+partition of records is a delta: its own counts, less those of the records it replaces, are merged
+into the table, the lines whose count crosses the limit by this merge are the crossings, and `places`
+leads from them to the records that are rebuilt, so the corpus is not read again. Counting a partition
+twice, or a record that was delivered again, changes nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 LIMIT = 6
 SALTS = 16  # a crossed line of a hot source is met by its records in so many tasks
 EMPTY_COUNTS = "source string, k1 bigint, k2 int, n bigint"
@@ -75,26 +79,82 @@ def rebuilt(recs: DataFrame, marked: DataFrame) -> DataFrame:
     return hit.select("id", F.array_join(kept, "\n").alias("text")).distinct()
 
 
+def placed(recs: DataFrame) -> DataFrame:
+    """(source, k1, k2, id, line_no): every line with a letter of the records."""
+    lines = recs.select("id", "source", F.posexplode(_forms(F.col("text"))).alias("pos", "form")).where(F.col("form").rlike(r"\p{L}"))
+    return lines.select("source", *_key(F.col("form")), "id", (F.col("pos") + 1).alias("line_no"))
+
+
+KEY = ["source", "k1", "k2"]
+
+
 @dataclass(frozen=True)
 class LineState:
-    """Counts and counted ids so far. Both are plain tables: write them, read them, go on."""
+    """Counts, places and counted records so far. All are plain tables: write them, read them, go on."""
 
     counts: DataFrame
     seen: DataFrame
+    places: DataFrame
 
     @classmethod
     def empty(cls, recs: DataFrame) -> LineState:
-        spark = recs.sparkSession
-        return cls(spark.createDataFrame([], EMPTY_COUNTS), spark.createDataFrame([], recs.select("id").schema))
+        make = lambda df: recs.sparkSession.createDataFrame([], df.schema)
+        return cls(make(recs.sparkSession.createDataFrame([], EMPTY_COUNTS)), make(_digests(recs)), make(placed(recs)))
+
+    def advance(self, recs: DataFrame, limit: int = LIMIT) -> Step:
+        """The state after a partition of records, and what the partition changes.
+
+        Records that were counted with the same text change nothing. A record that comes with another
+        text replaces the one before. Of rows that differ under one id in a partition the greatest by
+        contents is taken."""
+        one = recs.groupBy("id").agg(F.max(F.struct("source", "text")).alias("r")).select("id", "r.source", "r.text")
+        fresh = cut(one.withColumn("digest", F.md5("text")).join(self.seen, ["id", "source", "digest"], "left_anti").drop("digest"))
+        changed = cut(fresh.select("id").join(self.seen.select("id"), "id", "left_semi"))
+        new, old = placed(fresh), self.places.join(changed, "id", "left_semi")
+        sides = new.select(*KEY, "id").distinct().withColumn("d", F.lit(1)).unionByName(old.select(*KEY, "id").distinct().withColumn("d", F.lit(-1)))
+        delta = sides.groupBy(*KEY).agg(F.sum("d").cast("bigint").alias("n"))
+        merged = cut(merge_counts(self.counts, delta).where("n > 0 or was > 0"))
+        places = self.places.join(changed, "id", "left_anti").unionByName(new)
+        over = merged.where(F.col("n") >= limit).select(*KEY).join(new.select(*KEY).distinct(), KEY, "left_semi")
+        met = lambda lines, keys: lines.join(keys, KEY, "left_semi").select("id", "line_no").distinct()
+        marked = met(places, crossings(merged, limit)).unionByName(met(new, over)).distinct()
+        cleared = met(self.places, merged.where((F.col("n") < limit) & (F.col("was") >= limit)).select(*KEY))
+        seen = self.seen.join(changed, "id", "left_anti").unionByName(_digests(fresh))
+        return Step(LineState(merged.where("n > 0").select(*KEY, "n"), seen, places), over, marked, cleared.unionByName(old.select("id", "line_no")).distinct())
 
     def merge(self, recs: DataFrame, limit: int = LIMIT) -> tuple[LineState, DataFrame]:
         """The state after a partition of records, and the lines over the limit that stand in its new
         records: those that reach it now, whose earlier records change too, and those that did before."""
-        fresh = recs.join(self.seen, "id", "left_anti")
-        delta = delta_counts(fresh)
-        merged = merge_counts(self.counts, delta)
-        over = merged.where(F.col("n") >= limit).select("source", "k1", "k2").join(delta, ["source", "k1", "k2"], "left_semi")
-        return LineState(merged.select("source", "k1", "k2", "n"), self.seen.unionByName(fresh.select("id").distinct())), over
+        step = self.advance(recs, limit)
+        return step.state, step.over
+
+
+@dataclass(frozen=True)
+class Step:
+    """What a partition did: the state after it, the lines over the limit in its new records, and the
+    (id, line_no) that are to go now (`marked`) or to stay after all (`cleared`), of whatever record."""
+
+    state: LineState
+    over: DataFrame
+    marked: DataFrame
+    cleared: DataFrame
+
+
+def _digests(recs: DataFrame) -> DataFrame:
+    return recs.select("id", "source", F.md5("text").alias("digest")).distinct()
+
+
+def in_deltas(parts: Iterable[DataFrame], limit: int = LIMIT) -> DataFrame | None:
+    """(id, line_no) after all parts were merged in turn; None without a part. Between parts the state is
+    written to the shared folder, as it would be kept between days."""
+    state = marks = None
+    for recs in parts:
+        state = state or LineState.empty(recs)
+        marks = recs.sparkSession.createDataFrame([], recs.select("id", F.lit(1).alias("line_no")).schema) if marks is None else marks
+        step = state.advance(recs, limit)
+        state = LineState(cut(step.state.counts), cut(step.state.seen), cut(step.state.places))
+        marks = cut(marks.join(step.cleared, ["id", "line_no"], "left_anti").unionByName(step.marked).distinct())
+    return marks
 
 
 def repeated_lines(rows: DataFrame, key: str = "chunk_id", source: str = "source_id", text: str = "text", limit: int = LIMIT) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ..sources.parquet import table
-from .lines import marked_lines, records, rebuilt, repeated_lines
+from .lines import in_deltas, records, rebuilt, repeated_lines
 from .looks import form_report, same_looks
 from .near import group_pairs, near_duplicates
 from .packing import pack_documents
@@ -46,6 +46,16 @@ def p3_texts(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.select("chunk_id", "text").distinct().join(lost, "chunk_id", "left").select("chunk_id", F.coalesce("cleaned", "text").alias("text"))
 
 
+def p3_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """p3_found by the state: the quarters in which rows were loaded are merged in turn, rows without a time first."""
+    chunks = table(spark, sf, "chunks").withColumn("quarter", F.coalesce(F.date_format(F.date_trunc("quarter", "loaded_at"), "yyyy-MM-dd"), F.lit("")))
+    quarters = [r[0] for r in chunks.select("quarter").distinct().orderBy("quarter").collect()]  # a calendar
+    marks = in_deltas(records(chunks.where(F.col("quarter") == q), "chunk_id", "source_id", "text") for q in quarters)
+    if marks is None:
+        return repeated_lines(chunks)
+    return marks.select(F.col("id").alias("chunk_id"), "line_no")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return defective_pairs(table(spark, sf, "golden"), table(spark, sf, "judge_validate"))
 
@@ -82,7 +92,7 @@ def queries() -> dict[str, Query]:
 
         return run
 
-    return {f.__name__: shipped(f) for f in (p1_found, p2_found, p2_forms, p3_found, p3_texts, p4_found, p5_found, p7_found, p7_pieces, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: shipped(f) for f in (p1_found, p2_found, p2_forms, p3_found, p3_texts, p3_deltas, p4_found, p5_found, p7_found, p7_pieces, p8_ids, p9_containers, p10_found)}
 
 
 _FORM = r"regexp_replace(trim(regexp_replace(lower(line), '[\s\x0b\x0c\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), '\p{Nd}+', '0', 'g')"
@@ -96,6 +106,7 @@ def oracle_sql() -> dict[str, str]:
         marked as (select distinct chunk_id, line_no from lines join hot using (source_id, form))"""
     return {
         "p3_found": f"with {marked} select chunk_id, cast(line_no as int) as line_no from marked",
+        "p3_deltas": f"with {marked} select chunk_id, cast(line_no as int) as line_no from marked",
         "p3_texts": f"""with {marked},
             parts as (select distinct chunk_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from chunks)
             select chunk_id, coalesce(string_agg(line, chr(10) order by line_no) filter (where m is null), case when any_value(text) is not null then '' end) as text
