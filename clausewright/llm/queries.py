@@ -57,7 +57,7 @@ def p3_deltas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return defective_pairs(table(spark, sf, "golden"), table(spark, sf, "judge_validate"))
+    return defective_pairs(table(spark, sf, "golden"), table(spark, sf, "judge_validate"), table(spark, sf, "documents").select("lang", "text"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -233,3 +233,39 @@ def test_ranks_that_do_not_travel_are_joined(spark):
     for sent in (0, 5, 40, 50_000):
         assert {r["doc_id"]: round(r["vocabulary"], 9) for r in reading.measures(parse, ranks, sent).collect()} == want
     assert reading.parsed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("answer", ["I won't be able to help with that.", "That falls outside what I can discuss.", "I'd rather not answer.", "Não posso responder a essa pergunta.", "The bonus is paid once a year after the review of the claim by the desk in the city of the branch, said the leaflet. Apart from that I must decline to answer."])
+def test_refusals_anywhere_and_in_other_words(answer):
+    assert pairs.defect("What does the bonus depend on for the family?", answer, None) == "refusal"
+
+
+def test_no_refusal_in_statements_of_the_insurer():
+    for answer in ("The insurer cannot refuse the claim; it must answer within thirty days.", "We pay the bill when the hospital can answer.", "Six months from the policy start date", "No se paga sin el informe."):
+        assert pairs.defect(None, answer, None) is None
+
+
+def test_subsequence_by_bits():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            diag = 0
+            for j, y in enumerate(b, 1):
+                diag, row[j] = row[j], diag + 1 if x == y else max(row[j], row[j - 1])
+        assert pairs.common_subsequence(a, b) == row[-1]
+
+
+def test_language_profiles(spark):
+    rows = [("en", "the committee decides whether such treatment remains reimbursable throughout every calendar year"), ("de", "sämtliche Behandlungskosten übernimmt grundsätzlich unsere Krankenversicherung vollständig"), ("EN-gb", None), ("und", "xyz xyz xyz"), (None, "abc")]
+    known = pairs.profiles(spark.createDataFrame(rows * 3, "lang string, text string"))
+    assert set(known) == {"en", "de"}
+    assert pairs.language("Behandlungskosten übernimmt Krankenversicherung vollständig", known) == "de" and pairs.language("1200", known) is None
+    assert pairs.profiles(spark.createDataFrame([], "lang string, text string")) == {}
+
+
+def test_an_announced_question_is_a_copy():
+    q = "Wird die Augenoperation während des Aufenthalts erstattet?"
+    for head in ("The question is: ", "You asked: ", "Q: "):
+        assert pairs.defect(q, head + q, None) == "copied_question"
