@@ -48,12 +48,12 @@ _ID = r"[A-Za-z][\w]*(?:[.\-_][\w]+)*"
 PLACEHOLDER = re.compile(
     "|".join([
         r"\{\{[^{}\n]{1,80}\}\}", r"\$\{[^{}\n]{1,80}\}", r"<<[^<>\n]{1,80}>>", r"\[\[[^\[\]\n]{1,80}\]\]", r"\{%[^%\n]{1,80}%\}", r"<%[^%\n]{1,80}%>", rf"@@{_ID}@@", rf"__{_ID}__",
-        rf"(?<![\w%])%[A-Za-z]\w*[\w.\-]+%(?!\w)", r"(?<!\S)%[sd](?![\w%])", r"(?<![\w}])\{\d{1,2}\}", rf"\{{{_ID}\}}", rf"<[A-Za-z]\w*(?:[._\-]\w+)+>", rf"<[a-z]+[A-Z]\w*>", rf"<(?:{NAMES})>",
+        rf"(?<![\w%])%[A-Za-z]\w*[\w.\-]+%(?!\w)", r"(?<!\S)%[sd](?![\w%])", r"(?<![\w}])\{\d{1,2}\}", rf"\{{{_ID}\}}", rf"<[A-Za-z]\w*(?:[._\-]\w+)+>", rf"<[A-Za-z][a-z]*[A-Z]\w*>", rf"<(?:{NAMES})>",
         rf"\[[A-Za-z]\w*(?:[._]\w+)+\]", rf"\[[a-z]\w*(?:-\w+)+\]", r"\[[a-z]+[A-Z]\w*\]", r"\[[A-Z][a-z]+(?:[A-Z][a-z]+)+\]", rf"\[(?:{NAMES})\]",
-        r"\[object object\]", r"(?<![\w-])undefined(?![\w-])", r"(?<![\w-])NaN(?![\w-])", r"(?<![\w-])null(?![\w-])(?! and void)", r"#(?:REF|N/A|VALUE|NAME|DIV/0)!?",
+        r"\[object object\]", r"(?<![\w-])undefined(?![\w-])", r"(?<![\w-])NaN(?![\w-])(?! bread\b)", r"(?<![\w-])null(?![\w-])(?! and void)(?<!are null)(?<!be null)(?<!is null)", r"#(?:REF|N/A|VALUE|NAME|DIV/0)!?",
         r"\b[dD]{2}[/.-][mM]{2}[/.-][yY]{2,4}\b", r"\b[xX]{2}[/.-][xX]{2}[/.-](?:\d\d)?[xX]{2,4}\b", r"(?i:\b(?:rs\.?|inr)\s*x{1,3}(?:,x{2,3})+)", r"[\[(<][●•_.…\s]{1,20}[\])>](?!\w)",
         r"(?i:[\[(<]\s*(?:please )?(?:insert|enter|fill in|add|type|put)\b[^\])>\n]{1,60}[\])>])", r"(?i:[\[(<]\s*(?:tbc|tbd|tba|to be (?:confirmed|decided|filled|added|completed|inserted|advised|determined))\b[^\])>\n]{0,60}[\])>])",
-        r"(?i:\[(?:your |the |our )?(?:company|customer|client|member|insurer|product|policy|policyholder|first|last|full|branch|doctor|hospital) (?:name|number|date|address|id|title)(?: here)?\])", r"(?i:\b\w+(?:-\w+)*-goes-here\b)", r"(?i:\b(?:todo|fixme)\b\s*:)",
+        r"(?i:\[(?:your |the |our )?(?:company|customer|client|member|insurer|product|policy|policyholder|first|last|full|branch|doctor|hospital) (?:name|number|date|address|id|title)(?: here)?\])", r"(?i:\b\w+(?:-\w+)*-goes-here\b)", r"(?i:\b(?:todo|fixme)\b\s*:)", r"(?i:^\W*(?:dear|to|hello|hi)\s*(?:mr|ms|mrs)?\.?\s*[_.…]{4,})",
     ])
 )
 # Filler announced in words.
@@ -64,16 +64,16 @@ FAILED = re.compile(
         r"\b(?:http|error|status|code)\W{0,3}[45]\d\d\b(?! (?:days|hours|rupees|per))", r"^\W*[45]\d\d\W{0,3}(?:-|\||:|–|\b)\W{0,3}(?:page not found|not found|the file cannot|file not found|forbidden|unauthori[sz]ed|bad (?:request|gateway)|internal server|service (?:is )?(?:temporarily )?unavailable|gateway time-?out|too many requests|method not)",
         r"\b(?:internal server error|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|page (?:not found|cannot be found|could not be found))\b", r"\bthe file cannot be located\b",
         r"\bthe (?:requested|page|document)\b.{0,60}\bwas (?:removed|moved|deleted), (?:renamed|moved|removed)\b.{0,40}\bunavailable\b", r"\b(?:access|permission) denied\b\W{0,3}(?:$|you)", r"\byou (?:don['’]t|do not) have permission to (?:open|access|view|see)\b.{0,60}\b(?:on this server|this (?:page|resource))",
-        r"\bfatal error\W{1,3}uncaught\b", r"\buncaught (?:exception|error|typeerror) (?:in|at)\b", r"^\W*traceback \(most recent call last\)", r"\bsomething went wrong while we (?:loaded|were loading)\b", r"^\W*oops\b.{0,40}\b(?:wrong|error|find)\b",
+        r"\bfatal error\W{1,3}uncaught\b", r"\buncaught (?:exception|error|typeerror) (?:in|at)\b", r"^\W*traceback \(most recent call last\)", r"\bsomething went wrong while we (?:loaded|were loading)\b", r"\b(?:we|it) (?:couldn['’]t|could not|can['’]t|cannot|were unable to) (?:load|display|open|find) (?:this|the|that|your) (?:page|site|resource|content)\b", r"^\W*oops\b.{0,40}\b(?:wrong|error|find)\b",
         r"\btoo many requests\b.{0,60}\b(?:network|retry|again|ip)\b", r"\byour session has (?:expired|ended|timed out)\b", r"\bwe are (?:currently )?down for (?:scheduled )?maintenance\b", r"^\W*(?:this|the) (?:site|page|website|service) is (?:currently |temporarily )?(?:down|unavailable|under maintenance)\b", r"\b(?:connection|request) timed out\b\W*(?:$|please|try)",
     ]), re.I,
 )
 # Notices that scripts or cookies are needed.
 SCRIPTS = re.compile(
     "|".join([
-        r"\b(?:please )?(?:enable|activate|turn on|switch on|allow|accept)\b.{0,12}\b(?:javascript|java ?script|scripts|scripting|cookies)\b.{0,12}\b(?:to|in your|for|before|and|then)\b", r"\byou need to (?:enable|activate|turn on|switch on|allow)\b.{0,12}\b(?:javascript|scripting|scripts|cookies)\b",
-        r"\b(?:requires?|needs?)\s+(?:that )?(?:javascript|scripts|cookies)\b", r"\b(?:javascript|scripts?|cookies)(?: (?:and|or) (?:javascript|scripts?|cookies))? (?:must be|has to be|have to be|is|are) (?:enabled|allowed|required|disabled|turned (?:on|off)|switched (?:on|off)|activated)\b",
-        r"\byour browser (?:does not|doesn['’]t) support (?:javascript|scripts|cookies)\b", r"^\W*checking your browser before\b",
+        r"\b(?:please )?(?:enable|activate|turn on|switch on|allow|accept)\b.{0,12}\b(?:javascript|java ?script|js|scripts|scripting|cookies)\b.{0,12}\b(?:to|in your|for|before|and|then)\b", r"\byou need to (?:enable|activate|turn on|switch on|allow)\b.{0,12}\b(?:javascript|scripting|scripts|cookies)\b",
+        r"\b(?:requires?|needs?)\s+(?:that )?(?:javascript|js|scripts|cookies)\b", r"\b(?:javascript|js|scripting|scripts?|cookies)(?: (?:and|or) (?:javascript|js|scripts?|cookies))? (?:must be|has to be|have to be|is|are) (?:enabled|allowed|required|disabled|off|(?:turned|switched) (?:on|off)|activated|blocked)\b",
+        r"\byour browser (?:does not|doesn['’]t) support (?:javascript|js|scripts|cookies)\b", r"^\W*checking your browser before\b", r"^\W*(?:please )?(?:verify|confirm) (?:that )?you are (?:human|not a robot)\b", r"\bad ?blocker\b.{0,40}\b(?:disable|turn|switch)",
     ]), re.I,
 )
 ID = re.compile(r"(?=[0-9a-f]*\d)[0-9a-f]{6,}")
@@ -92,9 +92,9 @@ NONE, PART, STATEMENT = 0, 1, 2
 
 # At least one of these stands in every text that a pattern can match.
 SIGNS = re.compile(r"[\[{<%@_#$●]")
-PLACEHOLDER_WORDS = "undefined null nan dd/ dd- dd. xx goes-here todo fixme (insert (enter (please (fill (add (type (put (tbc (tbd (tba (to (• (. (_ (…".split() + ["( "]
+PLACEHOLDER_WORDS = "undefined null nan ____ dd/ dd- dd. xx goes-here todo fixme (insert (enter (please (fill (add (type (put (tbc (tbd (tba (to (• (. (_ (…".split() + ["( "]
 STATEMENT_WORDS = ["http", "error", "status", "not found", "cannot be", "file cannot", "could not be", "denied", "permission", "unavailable", "gateway", "forbidden", "unauthori", "bad request", "method not", "uncaught", "traceback", "went wrong", "oops", "too many requests", "session has", "maintenance", "timed out", "is down", "is currently", "is temporarily", "code",
-                   "javascript", "java script", "script ", " scripts", "scripts ", "scripting", "internal server", "cookies", "your browser", "sample ", "dummy ", "placeholder ", "filler ", "test text", "test co", "test para", "test wor", "test hea", "test tit", " here", "to follow", "coming soon", "to come"]
+                   "javascript", "java script", "js ", "script ", " scripts", "scripts ", "scripting", "internal server", "cookies", "your browser", "you are human", "not a robot", "adblock", "ad block", "t load", "not load", "display", "unable to", "t open", "not open", "t find", "not find", "sample ", "dummy ", "placeholder ", "filler ", "test text", "test co", "test para", "test wor", "test hea", "test tit", " here", "to follow", "coming soon", "to come"]
 
 
 @cache
@@ -117,10 +117,17 @@ def may_have(text: str) -> tuple[bool, bool]:
     return bool(bits & 1 or SIGNS.search(text)), bool(bits & 2)
 
 
+# A message between quotation marks within a sentence, which speaks of the message.
+SPOKEN_OF = re.compile(r"(?<!\S)['\"‘“][^'\"‘’“”\n]{1,80}['\"’”](?=[,.;:)\s]|$)")
+
+
 def trusted(line: str, words: list[str], placeholder: bool = True, statement: bool = True) -> int:
     """NONE, PART (placeholder or filler) or STATEMENT of a line in the common form, with its words."""
-    if statement and (FAILED.search(line) or SCRIPTS.search(line) or FILLER.search(line)):
-        return STATEMENT
+    if statement:
+        own = SPOKEN_OF.sub(" ", line)
+        own = own if WORDS.search(own) else line  # a line that is quoted whole is the message itself
+        if FAILED.search(own) or SCRIPTS.search(own) or FILLER.search(own):
+            return STATEMENT
     return PART if placeholder and PLACEHOLDER.search(line) or is_filler(words) else NONE
 
 

@@ -53,3 +53,10 @@ def test_every_pattern_passes_the_word_filter():
     for line in said:
         assert residue.FAILED.search(line) or residue.SCRIPTS.search(line) or residue.FILLER.search(line), line
         assert residue.may_have(line)[1], line
+
+
+def test_messages_are_told_from_what_speaks_of_them():
+    bad = ["We couldn't load this page. Try again later.", "Verify you are human by completing the action below.", "Dear ____________,", "Scripting is off. Without it the card cannot be shown.", "'Page not found'", "Plan <LimitValue> applies", "404 - page not found"]
+    good = ["If the desk shows 'page not found', the nominee may send the form by post.", "Fees are null under section 4.", "The NaN bread clause", "Members whose browser blocks scripts can call.", "Room category XX in annexure D means cover.", "An error in the form found by the broker is settled."]
+    kinds = [residue.trusted(x, residue.form_of(x), *residue.may_have(x)) for x in bad + good]
+    assert [bool(k) for k in kinds] == [True] * len(bad) + [False] * len(good), list(zip(kinds, bad + good))
