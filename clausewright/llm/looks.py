@@ -116,10 +116,7 @@ def common_form(text: str | None) -> str | None:
     one, segment = rules()[1][bool(BEYOND.search(text))]
     if not one.search(text):
         return text
-    for _ in range(4):  # a removed character can bring a letter and its accent together
-        out = segment.sub(_segment, text)
-        if out == text:
-            break
+    while (out := segment.sub(_segment, text)) != text:  # a removed character can bring a letter and its accent together
         text = out
     return text
 

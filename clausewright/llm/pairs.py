@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .looks import common_form
 
-LABELLED = 20_000  # labelled documents that the profiles are counted on, at most
+LABELLED = 20_000  # labelled documents that the profiles are counted on, about
 GRAMS = 3000  # most frequent sequences of three letters kept of a language
 
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[ऀ-ॿ]+")
@@ -185,10 +185,12 @@ Profiles = dict[str, tuple[dict[str, float], float]]
 def profiles(labelled: DataFrame, sample: int = LABELLED) -> Profiles:
     """Of each language its sequences of three letters with the logarithms of their shares, and that of
     one not seen. labelled: lang, text; a language is its first two letters, `und` is none. Single wrong
-    labels weigh little in the counts. At most `sample` rows are read, in an order by their hash, and
-    GRAMS sequences a language kept, so what comes to the driver is bounded."""
+    labels weigh little in the counts. About `sample` rows are counted, those with the least hashes of
+    their texts, and GRAMS sequences a language kept, so what comes to the driver is bounded."""
     lang = F.lower(F.substring("lang", 1, 2))
-    rows = labelled.where("lang is not null and lang <> 'und' and text is not null").select(lang.alias("lang"), "text").where(F.col("lang").isin(*SPOKEN)).orderBy(F.xxhash64("text"), "lang").limit(sample)
+    known = labelled.where("lang is not null and lang <> 'und' and text is not null").where(lang.isin(*SPOKEN))
+    share = min(1.0, sample / max(1, known.count()))
+    rows = known.where((F.xxhash64("text") / 2.0**64 + 0.5) <= share).select(lang.alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[str, str]] = Counter()

@@ -155,10 +155,12 @@ def measures(parse: DataFrame, ranks: DataFrame, sent: int = SENT) -> DataFrame:
     """(doc_id, words, vocabulary, sentence, letters) of the documents of LEAST_WORDS or more; the
     first two measures as logarithms.
 
-    The ranks of the `sent` most frequent words travel to the tasks. Where they do not cover SHARE of
+    The ranks of the most frequent words, at most `sent`, travel to the tasks. Where they do not cover SHARE of
     a document, its other words are joined with the ranks of all words, so the size of `sent`
     changes the plan and not the result."""
-    first = ranks.orderBy("rank", "id").limit(sent).toPandas().sort_values("id")  # at most `sent` rows
+    levels = ranks.groupBy("rank").agg(F.count("*").alias("c"))  # one row per different frequency
+    last = levels.where(F.col("rank") - 1 + F.col("c") <= sent).agg(F.max("rank")).first()[0] or 0
+    first = ranks.where(F.col("rank") <= last).toPandas().sort_values("id")  # at most `sent` rows
     known = parse.sparkSession.sparkContext.broadcast((first["id"].to_numpy(), first["rank"].to_numpy()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from ..session import cut
 from .looks import common_form
 from .near import SMALL, WORDS, WordIds, mixed, shingles
 
-RADIUS, SIMILAR, SHINGLE, ROUNDS = 3, 0.8, 5, 20
+RADIUS, SIMILAR, SHINGLE = 3, 0.8, 5
 
 # Names that stand in brackets of a template although they are plain words, and filler words.
 NAMES = "nominee|insurer|member|policyholder|name|date|amount|address|title|email|phone|company|product|customer|user|value|number|city|link|url"
@@ -47,12 +47,12 @@ _ID = r"[A-Za-z][\w]*(?:[.\-_][\w]+)*"
 # What an unfilled placeholder looks like.
 PLACEHOLDER = re.compile(
     "|".join([
-        r"\{\{[^{}\n]{1,80}\}\}", r"\$\{[^{}\n]{1,80}\}", r"<<[^<>\n]{1,80}>>", r"\[\[[^\[\]\n]{1,80}\]\]", r"\{%[^%\n]{1,80}%\}", r"<%[^%\n]{1,80}%>", rf"@@{_ID}@@", rf"__{_ID}__",
+        r"\{\{[^{}\n]+\}\}", r"\$\{[^{}\n]+\}", r"<<[^<>\n]+>>", r"\[\[[^\[\]\n]+\]\]", r"\{%[^%\n]+%\}", r"<%[^%\n]+%>", rf"@@{_ID}@@", rf"__{_ID}__",
         rf"(?<![\w%])%[A-Za-z]\w*[\w.\-]+%(?!\w)", r"(?<!\S)%[sd](?![\w%])", r"(?<![\w}])\{\d{1,2}\}", rf"\{{{_ID}\}}", rf"<[A-Za-z]\w*(?:[._\-]\w+)+>", rf"<[A-Za-z][a-z]*[A-Z]\w*>", rf"<(?:{NAMES})>",
         rf"\[[A-Za-z]\w*(?:[._]\w+)+\]", rf"\[[a-z]\w*(?:-\w+)+\]", r"\[[a-z]+[A-Z]\w*\]", r"\[[A-Z][a-z]+(?:[A-Z][a-z]+)+\]", rf"\[(?:{NAMES})\]",
         r"\[object object\]", r"(?<![\w-])undefined(?![\w-])", r"(?<![\w-])NaN(?![\w-])(?! bread\b)", r"(?<![\w-])null(?![\w-])(?! and void)(?<!are null)(?<!be null)(?<!is null)", r"#(?:REF|N/A|VALUE|NAME|DIV/0)!?",
-        r"\b[dD]{2}[/.-][mM]{2}[/.-][yY]{2,4}\b", r"\b[xX]{2}[/.-][xX]{2}[/.-](?:\d\d)?[xX]{2,4}\b", r"(?i:\b(?:rs\.?|inr)\s*x{1,3}(?:,x{2,3})+)", r"[\[(<][●•_.…\s]{1,20}[\])>](?!\w)",
-        r"(?i:[\[(<]\s*(?:please )?(?:insert|enter|fill in|add|type|put)\b[^\])>\n]{1,60}[\])>])", r"(?i:[\[(<]\s*(?:tbc|tbd|tba|to be (?:confirmed|decided|filled|added|completed|inserted|advised|determined))\b[^\])>\n]{0,60}[\])>])",
+        r"\b[dD]{2}[/.-][mM]{2}[/.-][yY]{2,4}\b", r"\b[xX]{2}[/.-][xX]{2}[/.-](?:\d\d)?[xX]{2,4}\b", r"(?i:\b(?:rs\.?|inr)\s*x{1,3}(?:,x{2,3})+)", r"[\[(<][●•_.…\s]+[\])>](?!\w)",
+        r"(?i:[\[(<]\s*(?:please )?(?:insert|enter|fill in|add|type|put)\b[^\])>\n]+[\])>])", r"(?i:[\[(<]\s*(?:tbc|tbd|tba|to be (?:confirmed|decided|filled|added|completed|inserted|advised|determined))\b[^\])>\n]*[\])>])",
         r"(?i:\[(?:your |the |our )?(?:company|customer|client|member|insurer|product|policy|policyholder|first|last|full|branch|doctor|hospital) (?:name|number|date|address|id|title)(?: here)?\])", r"(?i:\b\w+(?:-\w+)*-goes-here\b)", r"(?i:\b(?:todo|fixme)\b\s*:)", r"(?i:^\W*(?:dear|to|hello|hi)\s*(?:mr|ms|mrs)?\.?\s*[_.…]{4,})",
     ])
 )
@@ -262,7 +262,7 @@ def spread(records: DataFrame, key: str, text: str, lines: DataFrame) -> DataFra
     frontier = labelled
     missing = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b)))
     common = F.least(F.col("n") - missing("map", "seed_map"), F.col("seed_n") - missing("seed_map", "map"))  # at most
-    for _ in range(ROUNDS):
+    while True:  # every round labels a form more, or is the last
         near = cut(_table(frontier).select(F.col("form").alias("seed"), F.col("n").alias("seed_n"), F.col("map").alias("seed_map"), "gram"))
         close = table.join(_sent(near), "gram").where((1 + SIMILAR) * common >= SIMILAR * (F.col("n") + F.col("seed_n")) - 1e-9).select("form", "n", "map", "seed").dropDuplicates(["form", "seed"])
         close = cut(close.join(labelled.select("form"), "form", "left_anti"))
@@ -276,7 +276,6 @@ def spread(records: DataFrame, key: str, text: str, lines: DataFrame) -> DataFra
         if frontier.isEmpty():
             return labelled.select("form")
         labelled = cut(labelled.unionByName(frontier))
-    raise RuntimeError(f"labels did not settle in {ROUNDS} rounds")
 
 
 def residue(records: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
