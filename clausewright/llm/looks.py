@@ -21,12 +21,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Letters of other alphabets with the shape of a Latin letter, and that letter.
 ALIKE = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "Ϲ": "C", "ϲ": "c", "ϳ": "j", "Ϳ": "J",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ѵ": "V", "Ӏ": "I",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ɡ": "g", "ɑ": "a", "ı": "i",
     "Օ": "O", "օ": "o", "ս": "u", "ո": "n", "հ": "h", "Ս": "U", "Տ": "S",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮒ": "h", "Ꮓ": "Z", "Ꮜ": "U", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲥ": "c", "ⲣ": "p",
 }
 # Kinds of blank, line ends, and characters that show nothing besides those of category Cf.
 BLANKS = "\t               　"
@@ -35,7 +40,7 @@ HIDDEN = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ"
 JOINERS = "‌‍"
 VISIBLE_CF = "؀؁؂؃؄؅۝܏࣢"
 BEYOND = re.compile("[\U00010000-\U0010ffff]")
-SALTS = 8
+PARTNERS = 10_000  # texts of one form that a task holds against those that look for them
 PLAIN_TAGS = ("<wide>", "<narrow>", "<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
 
 
@@ -136,16 +141,19 @@ def same_looks(chunks: DataFrame) -> DataFrame:
     """(chunk_id_a, chunk_id_b): chunks whose texts differ as strings and are equal in the common form.
 
     Null ids and null texts take no part; a repeated row counts once. In every pair at least one
-    text differs from its form, so only those texts look for partners. Both sides carry hashes (96
-    bits of the form, 128 of the text) in place of the text. The partners of one form are spread
-    over SALTS tasks; the texts that look for them, the smaller side, are repeated per salt."""
+    text differs from its form, so only those texts look for partners, and only their forms are met.
+    Texts are read and brought to the form once, into hashes (96 bits of the form, 128 of the text).
+    The partners of a form are spread over as many tasks as their number asks for; the texts that look
+    for them are repeated for each."""
     forms = chunks.where("chunk_id is not null and text is not null").select("chunk_id", "text", common_form_col(F.col("text")).alias("form"))
-    keyed = forms.select("chunk_id", F.xxhash64("form").alias("k1"), F.hash("form").alias("k2"), F.md5("text").alias("raw"), (F.col("text") != F.col("form")).alias("changed"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    left = keyed.where("changed").select("k1", "k2", F.col("chunk_id").alias("x"), F.col("raw").alias("xr")).distinct().withColumn("salt", salts)
-    right = keyed.select("k1", "k2", F.col("chunk_id").alias("y"), F.col("raw").alias("yr"), F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int").alias("salt")).distinct()
-    met = left.join(right, ["k1", "k2", "salt"]).where("xr <> yr and x <> y")
-    return met.select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
+    keyed = cut(forms.select("chunk_id", F.xxhash64("form").alias("k1"), F.hash("form").alias("k2"), F.md5("text").alias("raw"), (F.col("text") != F.col("form")).alias("changed")).distinct())
+    form = ["k1", "k2"]
+    met = keyed.join(keyed.where("changed").select(*form).distinct(), form, "left_semi")
+    sizes = met.groupBy(*form).agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("tasks"))
+    left = keyed.where("changed").join(sizes, form).select(*form, F.col("chunk_id").alias("x"), F.col("raw").alias("xr"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"))
+    right = met.join(sizes, form).select(*form, F.col("chunk_id").alias("y"), F.col("raw").alias("yr"), F.pmod(F.xxhash64("chunk_id"), F.col("tasks")).cast("int").alias("salt"))
+    both = left.join(right, [*form, "salt"]).where("xr <> yr and x <> y")
+    return both.select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
 
 
 def form_report(chunks: DataFrame) -> DataFrame:
