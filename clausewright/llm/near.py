@@ -1,4 +1,4 @@
-"""Groups of records with nearly the same text (problem 1).
+"""Groups of records with nearly the same text (problem 1), by MinHash bands as the columns of a product.
 
 A text is the set of its sequences of three consecutive words, in the common form and lower case.
 Two texts are linked when the share of common sequences among all their sequences is at least
@@ -180,17 +180,12 @@ def cells(docs: DataFrame) -> DataFrame:
 def product(incident: DataFrame) -> DataFrame:
     """(a, b, shared): pairs of rows, a < b, with the number of columns both have.
 
-    One shuffle of the cells by column; most columns have one row and end there. A block of more
-    than BLOCK rows is cut into a grid of pieces, whose products are spread over all tasks."""
+    One shuffle of the cells by column, sorted so that a task holds one block at a time; most columns
+    have one row and end there. A block of more than BLOCK rows is cut into a grid of pieces, whose
+    products are spread over all tasks."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not got:
-            return
-        col, cls = (np.concatenate(x) for x in zip(*got))
-        del got
-        order = np.lexsort((cls, col))
-        col, cls = col[order], cls[order]
+    def blocks(col: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole blocks, in the order of columns and rows."""
         once = np.ones(len(col), bool)
         once[1:] = (col[1:] != col[:-1]) | (cls[1:] != cls[:-1])
         col, cls = col[once], cls[once]
@@ -211,9 +206,19 @@ def product(incident: DataFrame) -> DataFrame:
                     if len(left) >= 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(left, LONGS), pa.array(right, LONGS)], ["l", "r"])
                         left, right = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(left, LONGS), pa.array(right, LONGS)], ["l", "r"])
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left, LONGS), pa.array(right, LONGS)], ["l", "r"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        col = cls = np.empty(0, np.int64)
+        for batch in batches:
+            col, cls = np.append(col, batch.column(0).to_numpy()), np.append(cls, batch.column(1).to_numpy())
+            whole = np.searchsorted(col, col[-1]) if len(col) else 0  # the last block may go on in the next batch
+            yield from blocks(col[:whole], cls[:whole])
+            col, cls = col[whole:], cls[whole:]
+        yield from blocks(col, cls)
 
-    pieces = incident.repartition("col").mapInArrow(rows, "l array<bigint>, r array<bigint>").repartition(F.xxhash64("l", "r"))
+    pieces = incident.repartition("col").sortWithinPartitions("col", "cls").mapInArrow(rows, "l array<bigint>, r array<bigint>").repartition(F.xxhash64("l", "r"))
     pairs = pieces.select(F.explode("l").alias("a"), F.coalesce("r", "l").alias("r")).select("a", F.explode("r").alias("b")).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
@@ -252,7 +257,13 @@ def near_duplicates(texts: DataFrame, key: str, text: str, threshold: float = TH
     return placed.join(crowd, "grp", "left_semi").select(F.col("id").alias(key), F.col("grp").alias("group"))
 
 
+MEMBERS = 2000  # members of a group that a task holds against all others
+
+
 def group_pairs(groups: DataFrame, key: str) -> DataFrame:
-    """All pairs within a group, smaller key first."""
-    left, right = (groups.select("group", F.col(key).alias(f"{key}_{s}")) for s in "ab")
-    return left.join(right, "group").where(f"{key}_a < {key}_b").select(f"{key}_a", f"{key}_b")
+    """All pairs within a group, smaller key first. A large group is spread over as many tasks as its size asks for."""
+    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("tasks"))
+    known = groups.join(sizes, "group")
+    left = known.select("group", F.col(key).alias(f"{key}_a"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"))
+    right = known.select("group", F.col(key).alias(f"{key}_b"), F.pmod(F.xxhash64(key), F.col("tasks")).cast("int").alias("salt"))
+    return left.join(right, ["group", "salt"]).where(f"{key}_a < {key}_b").select(f"{key}_a", f"{key}_b")

@@ -26,6 +26,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return group_pairs(near_duplicates(table(spark, sf, "chunks"), "chunk_id", "text"), "chunk_id")
 
 
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk of a group, with the group's id."""
+    return near_duplicates(table(spark, sf, "chunks"), "chunk_id", "text")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return same_looks(table(spark, sf, "chunks"))
 
@@ -92,7 +97,7 @@ def queries() -> dict[str, Query]:
 
         return run
 
-    return {f.__name__: shipped(f) for f in (p1_found, p2_found, p2_forms, p3_found, p3_texts, p3_deltas, p4_found, p5_found, p7_found, p7_pieces, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: shipped(f) for f in (p1_found, p1_groups, p2_found, p2_forms, p3_found, p3_texts, p3_deltas, p4_found, p5_found, p7_found, p7_pieces, p8_ids, p9_containers, p10_found)}
 
 
 _FORM = r"regexp_replace(trim(regexp_replace(lower(line), '[\s\x0b\x0c\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), '\p{Nd}+', '0', 'g')"
