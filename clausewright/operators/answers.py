@@ -161,18 +161,6 @@ def costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return total.join(F.broadcast(prices), "model", "left").select("model", "input", "output", usd.alias("usd"))  # the price list
 
 
-def accepted(times: list[float], most: int, window: float) -> list[bool]:
-    """Sliding window over accepted calls only: a refused call is not counted."""
-    kept: list[float] = []
-    out = []
-    for t in times:
-        kept = [k for k in kept if k > t - window]
-        out.append(len(kept) < most)
-        if out[-1]:
-            kept.append(t)
-    return out
-
-
 def rate_limit(events: DataFrame, most: int = 20, seconds: int = 60) -> DataFrame:
     """(event_id, accepted). Calls are folded in order within a user's session: a gap of `seconds`
     empties the window, so sessions are independent and a busy user is spread over tasks."""

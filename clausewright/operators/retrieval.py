@@ -152,8 +152,8 @@ def in_blocks(items: DataFrame, blocks: DataFrame, scorer: Scorer, qkind: str, k
         return top(items.mapInArrow(lambda batches: best(batches, few.value), schema), k)
     groups, parts = -(-size["bytes"] // sent), max(1, -(-items.count() // GROUP))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = items.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("grp", every(groups).cast("int"))
-    right = blocks.select("payload", F.pmod(F.xxhash64("payload"), F.lit(groups)).cast("int").alias("grp")).withColumn("part", every(parts).cast("int"))
+    left = items.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("grp", every(groups))
+    right = blocks.select("payload", F.pmod(F.xxhash64("payload"), F.lit(groups)).cast("int").alias("grp")).withColumn("part", every(parts))
 
     def met(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         got = list(best(iter(mine.to_batches()), theirs.column("payload").to_pylist()))

@@ -90,8 +90,8 @@ def markdown_text(label: Column, header: Column, rows: Column) -> Column:
 
 def row_groups(tables: DataFrame, most: int = TABLE_CHARS) -> DataFrame:
     """(table_id, source_id, ordinal, first_row, last_row, split, text): a table within `most` characters
-    whole, a longer one in groups of rows, packed in order, each under the header. A row that is too
-    long stands alone. Tables without a header or rows have no group."""
+    whole, a longer one in groups of rows, packed in order, each under the header; line breaks do not
+    count towards the size of a group. A row that is too long stands alone. Tables without a header or rows have no group."""
     label = context_label(F.col("source_id"), F.col("pages"), F.col("clause_id"), F.col("caption"))
     usable = tables.where((F.size(filled(F.col("header"))) > 0) & (F.size("rows") > 0)).withColumn("label", label)
     usable = usable.withColumn("whole", markdown_text(F.col("label"), F.col("header"), F.col("rows")))

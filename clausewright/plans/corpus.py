@@ -10,7 +10,9 @@ from ..functions import text as T
 from ..operators import answers as A
 from ..operators import documents as D
 from ..operators import manifest as M
+from ..session import scratch
 from ..sources.parquet import table
+from ..streaming.limits import run_files
 from . import sql as Q
 from .evaluation import _A, _C, _SLUG, _T, _canonical, _truths
 
@@ -192,11 +194,23 @@ def rate_limit_accept(spark: SparkSession, sf: str) -> DataFrame:
     return A.rate_limit(table(spark, sf, "events"), most=2, seconds=3600)
 
 
+def rate_limit_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same decisions from a stream: the calls as four files in the order of time, a batch each."""
+    e = table(spark, sf, "events").where("user_id is not null and ts is not null").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    ends = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    folder = scratch(spark, "calls")
+    width = (ends["b"] - ends["a"]) / 4 if ends["a"] is not None else None
+    for i in range(4 if width is not None else 1):
+        part = e if width is None else e.where((F.col("ts") >= F.lit(ends["a"] + i * width)) & ((F.col("ts") < F.lit(ends["a"] + (i + 1) * width)) | F.lit(i == 3)))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return run_files(spark, folder, "event_id bigint, user_id bigint, ts timestamp", 2, 3600)
+
+
 def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1, 9).select(F.col("id").alias("attempt"), F.least(F.lit(90.0), 0.25 * F.pow(F.lit(2.0), F.col("id") - 1)).alias("wait_s"))
 
 
-_NAMES = ["norm_numeric_spans", "norm_full", "norm_changes", "norm_questions", "tokenise_counts", "token_estimate", "term_slug", "clause_canonical", "concept_check", "redact_secrets", "quote_cap", "declined_answers", "span_keys", "page_probe", "document_probe", "page_ranges", "heading_totals", "locate_phrase", "running_lines", "clause_ids_on_line", "clause_chunks", "table_markdown", "table_row_sentences", "table_stitch", "build_report", "uncovered_pages", "manifest_violations", "superseded_ids", "resolve_spans", "run_log_summary", "resume_antijoin", "rate_limit_window", "rate_limit_accept", "retry_schedule"]
+_NAMES = ["norm_numeric_spans", "norm_full", "norm_changes", "norm_questions", "tokenise_counts", "token_estimate", "term_slug", "clause_canonical", "concept_check", "redact_secrets", "quote_cap", "declined_answers", "span_keys", "page_probe", "document_probe", "page_ranges", "heading_totals", "locate_phrase", "running_lines", "clause_ids_on_line", "clause_chunks", "table_markdown", "table_row_sentences", "table_stitch", "build_report", "uncovered_pages", "manifest_violations", "superseded_ids", "resolve_spans", "run_log_summary", "resume_antijoin", "rate_limit_window", "rate_limit_accept", "rate_limit_streamed", "retry_schedule"]
 QUERIES = {n: globals()[n] for n in _NAMES}
 _L = f"{_C}, l as (select chunk_id, source_id, span.page as page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from c)"
 _N = lambda ch: f"length(regexp_replace(coalesce(text, ''), '[^{ch}]', '', 'g'))"
@@ -214,6 +228,11 @@ _CHANGES = {
 }
 
 
+_KEPT = "list_filter(kept, lambda k: k > t - 3600)"
+_ACCEPTED = f"""with recursive e as (select event_id, user_id, epoch(ts) as t, row_number() over (partition by user_id order by ts, event_id) as rn from events where user_id is not null and ts is not null),
+    w as (select user_id, rn, event_id, true as accepted, [t] as kept from e where rn = 1 union all select e.user_id, e.rn, e.event_id, len({_KEPT}) < 2, case when len({_KEPT}) < 2 then list_append({_KEPT}, t) else {_KEPT} end from w join e on e.user_id = w.user_id and e.rn = w.rn + 1) select event_id, accepted from w"""
+
+
 def _mask(text: str) -> str:
     for shape in T.KEYS:
         text = f"regexp_replace({text}, '{shape}', '\\1...REDACTED', 'g')"
@@ -257,5 +276,7 @@ ORACLES = {
     "run_log_summary": f"with {_A} select run_id, count(*) as n, count(*) filter (outcome = 'ANSWER') as answered, round(sum(wall_gen_s), 4) as seconds from a group by 1",
     "resume_antijoin": "select distinct id from golden where id is not null and id not in (select id from judge_validate where outcome = 'ANSWER' and id is not null)",
     "rate_limit_window": "select event_id, count(*) over (partition by user_id order by epoch(date_trunc('second', ts)) range between 3600 preceding and current row) as n from events",
+    "rate_limit_accept": _ACCEPTED,
+    "rate_limit_streamed": _ACCEPTED,
     "retry_schedule": "select a as attempt, least(90.0, 0.25 * pow(2, a - 1))::double as wait_s from range(1, 9) t(a)",
 }

@@ -15,7 +15,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType, required: tup
     All problems are found at once: text that is no object of the schema, keys the schema does not
     have, required keys that are missing or null. Lines are numbered within their file, so a file is
     read as one row; these files are kept by hand. Logs without numbers are read by read_log."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).select("file", (F.col("at") + 1).alias("line_no"), F.trim("line").alias("line")).where("line <> '' and not startswith(line, '#')")
     full = StructType([*schema.fields]).add(BROKEN, StringType())
     parsed = lines.withColumn("item", F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}))
