@@ -185,7 +185,9 @@ def product(incident: DataFrame) -> DataFrame:
     products are spread over all tasks."""
 
     def blocks(col: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Whole blocks, in the order of columns and rows."""
+        """Whole blocks, in the order of columns."""
+        order = np.lexsort((cls, col))
+        col, cls = col[order], cls[order]
         once = np.ones(len(col), bool)
         once[1:] = (col[1:] != col[:-1]) | (cls[1:] != cls[:-1])
         col, cls = col[once], cls[once]
@@ -218,7 +220,7 @@ def product(incident: DataFrame) -> DataFrame:
             col, cls = col[whole:], cls[whole:]
         yield from blocks(col, cls)
 
-    pieces = incident.repartition("col").sortWithinPartitions("col", "cls").mapInArrow(rows, "l array<bigint>, r array<bigint>").repartition(F.xxhash64("l", "r"))
+    pieces = incident.repartition("col").sortWithinPartitions("col").mapInArrow(rows, "l array<bigint>, r array<bigint>").repartition(F.xxhash64("l", "r"))
     pairs = pieces.select(F.explode("l").alias("a"), F.coalesce("r", "l").alias("r")).select("a", F.explode("r").alias("b")).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
