@@ -44,6 +44,7 @@ BITS = 256
 MAPS = [f"m{i}" for i in range(BITS // 64)]
 SMALL = 1_000_000  # ids of this many rows (8 MB) are broadcast, more are shuffled
 BLOCK = 128  # rows of a block that are paired in one piece; larger blocks are cut into a grid of such
+CELLS = 2_000_000  # cells of the incidence matrix in a task, 32 MB
 LONGS = pa.list_(pa.int64())
 WORDS = re.compile(r"[^\W_]+")
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -177,15 +178,14 @@ def cells(docs: DataFrame) -> DataFrame:
     return docs.select("cls", "grams").mapInArrow(rows, "col bigint, cls bigint")
 
 
-def product(incident: DataFrame) -> DataFrame:
+def product(incident: DataFrame, parts: int | None = None) -> DataFrame:
     """(a, b, shared): pairs of rows, a < b, with the number of columns both have.
 
-    One shuffle of the cells by column, sorted so that a task holds one block at a time; most columns
+    One shuffle of the cells by column into `parts`, as many as keep a task's share small; most columns
     have one row and end there. A block of more than BLOCK rows is cut into a grid of pieces, whose
     products are spread over all tasks."""
 
     def blocks(col: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Whole blocks, in the order of columns."""
         order = np.lexsort((cls, col))
         col, cls = col[order], cls[order]
         once = np.ones(len(col), bool)
@@ -212,15 +212,12 @@ def product(incident: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(left, LONGS), pa.array(right, LONGS)], ["l", "r"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        col = cls = np.empty(0, np.int64)
-        for batch in batches:
-            col, cls = np.append(col, batch.column(0).to_numpy()), np.append(cls, batch.column(1).to_numpy())
-            whole = np.searchsorted(col, col[-1]) if len(col) else 0  # the last block may go on in the next batch
-            yield from blocks(col[:whole], cls[:whole])
-            col, cls = col[whole:], cls[whole:]
-        yield from blocks(col, cls)
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if got:
+            yield from blocks(*(np.concatenate(x) for x in zip(*got)))
 
-    pieces = incident.repartition("col").sortWithinPartitions("col").mapInArrow(rows, "l array<bigint>, r array<bigint>").repartition(F.xxhash64("l", "r"))
+    spread = incident.repartition(parts, "col") if parts else incident.repartition("col")
+    pieces = spread.mapInArrow(rows, "l array<bigint>, r array<bigint>").repartition(F.xxhash64("l", "r"))
     pairs = pieces.select(F.explode("l").alias("a"), F.coalesce("r", "l").alias("r")).select("a", F.explode("r").alias("b")).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
@@ -233,7 +230,8 @@ def linked_pairs(docs: DataFrame, threshold: float) -> DataFrame:
     lacks = lambda s, o: sum((F.bit_count(F.col(f"{s}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{o}_{m}")))) for m in MAPS), F.lit(0))
     bound = F.least(F.col("a_n") - lacks("a", "b"), F.col("b_n") - lacks("b", "a"))
     sized = F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n")
-    near = cut(product(cells(docs)).select("a", "b").join(side("a"), "a").join(side("b"), "b").where(sized & (bound >= need)).select("a", "b", need.cast("int").alias("need")))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() * BANDS // CELLS))
+    near = cut(product(cells(docs), parts).select("a", "b").join(side("a"), "a").join(side("b"), "b").where(sized & (bound >= need)).select("a", "b", need.cast("int").alias("need")))
     ends = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
     ends = F.broadcast(ends) if near.count() * 2 <= SMALL else ends
     grams = docs.select("cls", "grams").join(ends, "cls", "left_semi").dropDuplicates(["cls"])
