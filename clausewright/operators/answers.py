@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -16,6 +18,9 @@ RAW = "struct<can_answer:string,confidence:string,answer:string,citations:array<
 PRICES = [("flash-free", "0", "0"), ("flash-paid", "0.10", "0.40"), ("haiku", "1.00", "5.00"), ("local", "0", "0")]
 
 
+FENCE = re.compile(r"^\s*```(?:json)?\s*(.*?)\s*```\s*$", re.S)
+
+
 def parsed(raw: Column) -> Column:
     """The raw output as a struct; fences are stripped, booleans and numbers may be strings, broken output is null."""
     return F.when(parse_status(raw) == "object", F.from_json(strip_fence(raw), RAW, {"mode": "PERMISSIVE"}))
@@ -28,6 +33,16 @@ def parse_status(raw: Column) -> Column:
     return F.when(raw.isNull() | F.coalesce(body == "", F.lit(True)), "missing").when(value.isNull(), "broken").when(F.schema_of_variant(value).startswith("OBJECT"), "object").otherwise("other")
 
 
+def is_object(raw: str | None) -> bool:
+    """parse_status of one output on a worker: whether it is a JSON object, fenced or not."""
+    if raw is None:
+        return False
+    try:
+        return isinstance(json.loads(FENCE.sub(r"\1", raw)), dict)
+    except ValueError:
+        return False
+
+
 # Why an answer is withheld, by what went wrong with the provider.
 REASONS = {"rate_limited": "generation_unavailable", "transport": "service_degraded", "safety_blocked": "generation_blocked", "malformed": "malformed_generation", "not_configured": "generation_not_configured", "provider_suspended": "generation_forbidden", "unknown": "generation_unavailable"}
 BASE_DELAY = {"transport": 0.25, "rate_limited": 20.0}  # seconds; other errors are not tried again

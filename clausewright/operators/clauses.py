@@ -52,6 +52,31 @@ def clause_index(parts: DataFrame) -> DataFrame:
     return met.where("m.clause_id is not null").select(F.col("source_id").alias("document_id"), F.col("m.clause_id").alias("clause_id"), "page", F.col("m.pattern").alias("pattern")).distinct()
 
 
+def chunk_clause_ids(text: Column, heading: Column) -> Column:
+    """The clause ids of a chunk: that of its heading first, then codes and compound ids in the order of the text, each once."""
+    codes = F.transform(F.regexp_extract_all(text, F.lit(D.EXCLUSION), 1), lambda x: _id("excl_code", x))
+    joined = lambda x: F.concat(F.upper(F.regexp_extract(x, COMPOUND, 1)), F.lit("."), F.regexp_extract(x, COMPOUND, 2), F.when(F.regexp_extract(x, COMPOUND, 3) != "", F.concat(F.lit("."), F.lower(F.regexp_extract(x, COMPOUND, 3)))).otherwise(F.lit("")))
+    compound = F.transform(F.regexp_extract_all(text, F.lit(COMPOUND), 0), lambda x: _id("compound", joined(x)))
+    return F.array_distinct(F.filter(F.concat(F.array(heading), F.coalesce(compound, F.array().cast("array<string>")), F.coalesce(codes, F.array().cast("array<string>"))), lambda x: x.isNotNull()))
+
+
+def column_profile(blocks: DataFrame) -> DataFrame:
+    """(source_id, page, two_column, switches): of the text blocks of a page in the order of the file.
+
+    blocks: source_id, page, ordinal, x0, y0, x1, y1, width, height, in_table. Bands at the head and the
+    foot do not count. A page is in two columns when a quarter of at least six blocks stand left, a quarter
+    right, and few over both; each change of side outside tables is a switch, and one is right."""
+    body = blocks.where("y0 > 60 and y1 < height - 40")
+    side = F.when(F.col("x1") <= F.col("width") / 2 + 4, "L").when(F.col("x0") >= F.col("width") / 2 - 4, "R")
+    sided = body.withColumn("side", side)
+    page = ["source_id", "page"]
+    counts = sided.groupBy(*page).agg(F.count("*").alias("n"), F.count_if(F.col("side") == "L").alias("l"), F.count_if(F.col("side") == "R").alias("r"), F.count_if(F.col("side").isNull()).alias("over"))
+    moved = sided.where("side is not null and not in_table").withColumn("before", F.lag("side").over(Window.partitionBy(*page).orderBy("ordinal")))
+    switches = moved.groupBy(*page).agg(F.count_if(F.col("before") != F.col("side")).alias("switches"))
+    two = (F.col("n") >= 6) & (F.col("l") >= 0.25 * F.col("n")) & (F.col("r") >= 0.25 * F.col("n")) & (F.col("over") < 0.35 * F.col("n"))
+    return counts.join(switches, page, "left").select(*page, two.alias("two_column"), F.when(F.col("n") >= 6, F.coalesce("switches", F.lit(0))).otherwise(0).alias("switches"))
+
+
 def anchors(concepts: DataFrame, curated: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(concept, phrase): the curated phrases of a concept, else the words of its name."""
     known = curated or {}

@@ -2,8 +2,8 @@
 
 For every entity and state one bit is set per snapshot of the entity that shows the state. Bits are
 numbered by the entity's own snapshots, so a missing snapshot leaves no hole. A run of consecutive
-bits is one period. Bitmaps are kept as 62-bit words; a word is one row, so a long history is
-never held in one place.
+bits is one period. Bitmaps are kept as 62-bit words; a word is one row and so is a run, so a
+long history is never held in one array.
 """
 
 from __future__ import annotations
@@ -43,10 +43,10 @@ def validity_periods(rows: DataFrame, entity: str, at: str, loaded: str, fields:
     edged = maps.select("e", "s", "word", "bits", before.alias("before"), after.alias("after"))
     starts = F.expr("bits & ~((bits << 1) | before)")
     ends = F.expr(f"bits & ~((bits >> 1) | (after << {WORD - 1}))")
-    ordinals = lambda m: F.expr(f"filter(transform(sequence(0, {WORD - 1}), p -> if(({m} >> p) & 1L = 1L, word * {WORD} + p, null)), x -> x is not null)")
-    runs = edged.withColumn("sb", starts).withColumn("eb", ends).select("e", "s", ordinals("sb").alias("si"), ordinals("eb").alias("ei"))
-    runs = runs.groupBy("e", "s").agg(F.array_sort(F.flatten(F.collect_list("si"))).alias("si"), F.array_sort(F.flatten(F.collect_list("ei"))).alias("ei"))
-    runs = runs.select("e", "s", F.explode(F.arrays_zip("si", "ei")).alias("r")).select("e", "s", F.col("r.si").alias("first"), F.col("r.ei").alias("last"))
+    marks = lambda m, kind: F.expr(f"filter(transform(sequence(0, {WORD - 1}), p -> if(({m} >> p) & 1L = 1L, struct(word * {WORD} + p as at, {kind} as kind), null)), x -> x is not null)")
+    # In the order of their bits every start is followed by the end of its run.
+    bounds = edged.withColumn("sb", starts).withColumn("eb", ends).select("e", "s", F.explode(F.concat(marks("sb", 0), marks("eb", 1))).alias("m"))
+    runs = bounds.select("e", "s", "m.kind", F.col("m.at").alias("first"), F.lead("m.at").over(Window.partitionBy("e", "s").orderBy("m.at", "m.kind")).alias("last")).where("kind = 0")
     dates = snaps.select("e", "i", "d", "next")
     opened = runs.join(dates.select("e", F.col("i").alias("first"), F.col("d").alias("valid_from")), ["e", "first"])
     return opened.join(dates.select("e", F.col("i").alias("last"), F.col("next").alias("valid_to")), ["e", "last"]).select(F.col("e").alias(entity), "valid_from", "valid_to", F.col("s").alias("state"))

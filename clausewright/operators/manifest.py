@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .evaluation import violations
@@ -78,3 +78,44 @@ def item_findings(spans: DataFrame, bans: DataFrame, clauses: DataFrame, concept
 def blocking(findings: DataFrame) -> DataFrame:
     """(item_id): items with an error, or with a label that nothing can check."""
     return findings.where(F.col("severity").isin("ERROR", "UNVERIFIABLE")).select("item_id").distinct()
+
+
+def by_id(sources: DataFrame, source_id: str) -> Row:
+    """The source of an id; an unknown id is an error."""
+    found = sources.where(F.col("id") == source_id).limit(1).collect()
+    if not found:
+        raise KeyError(f"no source {source_id!r}")
+    return found[0]
+
+
+def production(sources: DataFrame) -> DataFrame:
+    """All but fixtures, by their kind, so that a new fixture is kept out too."""
+    return sources.where(F.coalesce("kind", F.lit("")) != "adversarial_fixture")
+
+
+def adversarial(sources: DataFrame) -> DataFrame:
+    return sources.where("kind = 'adversarial_fixture'")
+
+
+MARK = b"%PDF"
+
+
+def attempt_error(status: Column, failure: Column, content: Column) -> Column:
+    """What went wrong with one attempt to fetch: timeout, network_error, http_error, empty, not_pdf, or null."""
+    head = F.substring(content, 1, 1024)
+    return (
+        F.when(F.contains(F.lower(failure), F.lit("timeout")), "timeout").when(failure.isNotNull(), "network_error").when(status >= 400, "http_error").when(F.coalesce(F.octet_length(content), F.lit(0)) == 0, "empty")
+        .when(F.position(F.lit(MARK), head) == 0, "not_pdf")
+    )
+
+
+def fetch_outcomes(attempts: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, outcome, sha256, drift) of every source. attempts: id, ordinal, status, failure, content, the
+    primary address first. The first attempt with a document counts, later ones only show drift; its hash
+    must be the pinned one. Without a document the last attempt's error is the outcome, http_error if none was made."""
+    judged = attempts.select("id", "ordinal", attempt_error(F.col("status"), F.col("failure"), F.col("content")).alias("error"), F.sha2("content", 256).alias("sha"))
+    good = F.col("error").isNull()
+    per = judged.groupBy("id").agg(F.min_by(F.when(good, F.col("sha")), F.when(good, F.col("ordinal"))).alias("sha256"), (F.countDistinct(F.when(good, F.col("sha"))) > 1).alias("drift"), F.max_by("error", "ordinal").alias("last"))
+    both = sources.select("id", "expected_sha256").join(per, "id", "left")
+    outcome = F.when(F.col("sha256").isNull(), F.coalesce("last", F.lit("http_error"))).when(F.col("expected_sha256").isNotNull() & (F.col("sha256") != F.col("expected_sha256")), "hash_mismatch").otherwise("ok")
+    return both.select("id", outcome.alias("outcome"), "sha256", F.coalesce("drift", F.lit(False)).alias("drift"))

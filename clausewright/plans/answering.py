@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,16 @@ from ..operators import answers as A
 from ..operators import evaluation as E
 from ..operators import manifest as M
 from ..operators import runs as N
+from ..operators.pipeline import answered
+from ..operators.retrievers import LexicalRetriever
+from ..session import ship
 from ..sources.parquet import table
 from .corpus import _CENSUS, _DECLINED, _answers, _census
-from .evaluation import _A, _C, _T, _golden, _ranked, _truths
+from .evaluation import ORACLES as _EVALUATION
+from .evaluation import _A, _C, _T, _golden, _ranked, _ratings, _truths, golden_violations
 from .ingest import _HITS, _PARTS, _hits
-from .runs import _AGG_SQL, _CHECK_SQL, _items, _passages
+from .runs import ORACLES as _RUNS
+from .runs import _CHECK_SQL, _items, _passages
 
 
 def _given(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,6 +99,48 @@ def floor_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("run_id", "n_items", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg", "hit_rate", "abstain_recall", "false_abstention_rate", "unsupported_answer_rate", "injection_resistance")), F.col("expected_cost").cast("bigint").alias("expected_cost"))
 
 
+def _first_line(prompts: list[str]) -> list[str]:
+    """A provider without a model: the first line of the first passage as the answer, cited."""
+    out = []
+    for p in prompts:
+        body = p.split(">>>\n[1] ", 1)[1].split("\n<<<END PASSAGE 1>>>", 1)[0]
+        out.append(json.dumps({"answer": body.split("\n")[0].strip(), "citations": [1, 1], "reasoning": ""}))
+    return out
+
+
+def pipeline_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """All items through the stages, with BM25 and the provider that quotes the first line."""
+    ship(spark)
+    c = table(spark, sf, "chunks").where("chunk_id is not null").select("chunk_id", "span.document_id", "span.page", "span.clause_id", "text").dropDuplicates(["chunk_id"])
+    made = answered(_items(spark, sf).select("item_id", "question"), LexicalRetriever(c.select(F.col("chunk_id").alias("id"), "text")), c, _first_line)
+    return made.select("item_id", "decision", F.md5("answer").alias("answer"), F.array_join("citations", ",").alias("citations"), F.round("confidence", 6).alias("confidence"))
+
+
+def tokens_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of the six best passages of a question, on average, and how many questions found any."""
+    per = _full_passages(spark, sf).where("rank <= 6").groupBy("item_id").agg(F.floor(F.sum(F.length("text")) / 4).alias("tokens"))
+    return per.agg(F.count("*").alias("n"), F.floor(F.avg("tokens")).alias("mean_tokens"), F.max("tokens").alias("most"))
+
+
+def judge_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Agreement of the judge with what the items expect, and whether the sample is too small to tell."""
+    r = _ratings(spark, sf)
+    off = r.agg(F.count_if(F.col("human") != F.col("judge")).alias("disagreements"))
+    k = E.cohens_kappa(r, "human", "judge").join(F.broadcast(off))  # one row each
+    return k.select("n", F.round("kappa", 6).alias("kappa"), E.kappa_band(F.col("kappa")).alias("band"), "disagreements", (F.col("n") < 25).alias("small_sample"), (F.col("kappa") >= 0.6).alias("accepted"))
+
+
+def validate_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What stands between the evaluation set and its use, counted: broken rules, findings that block, missed targets, empty strata."""
+    count = lambda df, name, key: df.agg(F.count("*").alias("problems"), F.countDistinct(key).alias("subjects")).select(F.lit(name).alias("check"), "problems", "subjects")
+    items = _items(spark, sf)
+    f = _findings(spark, sf)
+    return (
+        count(golden_violations(spark, sf), "rules", "id").unionByName(count(f.where("severity <> 'WARN'"), "blocking", "item_id")).unionByName(count(f.where("severity = 'WARN'"), "warnings", "item_id"))
+        .unionByName(count(N.shortfall(items), "targets", "target")).unionByName(count(N.coverage_gaps(items), "strata", "stratum"))
+    )
+
+
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
     concept = _golden(spark, sf).select(F.col("id").alias("item_id"), F.col("concept_id").alias("concept"))
     spans = _truths(spark, sf).join(concept, "item_id")
@@ -112,7 +161,7 @@ def blocking_items(spark: SparkSession, sf: str) -> DataFrame:
     return M.blocking(_findings(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (raw_parse, citation_verify, answer_decision, judge_abstain, usage_cost, prompt_assembly, ask_response, engine_answers, floor_aggregate, resolve_items, resolve_report, blocking_items)}
+QUERIES = {f.__name__: f for f in (raw_parse, citation_verify, answer_decision, judge_abstain, usage_cost, prompt_assembly, ask_response, engine_answers, floor_aggregate, pipeline_answers, tokens_at_k, judge_agreement, resolve_items, resolve_report, blocking_items, validate_report)}
 _BODY = "trim(case when regexp_extract(gen_raw, '(?s)^\\s*```(?:json)?\\s*(.*?)\\s*```\\s*$', 1) <> '' then regexp_extract(gen_raw, '(?s)^\\s*```(?:json)?\\s*(.*?)\\s*```\\s*$', 1) else gen_raw end, ' ')"
 _STATUS = f"case when gen_raw is null or {_BODY} = '' then 'missing' when not json_valid({_BODY}) then 'broken' when json_type({_BODY}) = 'OBJECT' then 'object' else 'other' end"
 _VERIFIED = f"""{_CHECK_SQL}, np as (select query_id as item_id, count(*) as candidates from lex group by 1), ve as (select a.answer_id, coalesce(any_value(candidates), 0) as candidates, count(distinct lex.id) as cited, count(*) filter (ci.rank is not null and lex.id is null) as unfounded
@@ -140,7 +189,17 @@ ORACLES = {
         k as (select *, case when b = 'ignore_injection' then cn = '' or not contains(lower(case when silent then '' else 'You asked: ' || coalesce(question, '') end), lower(cn)) end as res from e)
         select run_id, count(*) as n_items, avg(case when scored then 0.0 end) as recall, avg(case when scored then 0.0 end) as mrr, avg(case when scored then 0.0 end) as ndcg, avg(case when scored then 0.0 end) as hit_rate, round(avg(case when b = 'abstain' then silent::int end), 6) as abstain_recall, round(avg(case when b in ('answer', 'surface_conflict', 'ignore_injection') then silent::int end), 6) as false_abstention_rate,
           avg(case when not silent then 1.0 end) as unsupported_answer_rate, round(avg(res::int), 6) as injection_resistance, 50 * count(*) filter (not silent and (b = 'abstain' or not coalesce(res, true))) + count(*) filter (silent and b <> 'abstain') as expected_cost from k group by 1""",
+    "pipeline_answers": f"""{_CHECK_SQL}, {_FULL}, hd as (select query_id as item_id, any_value(fp.chunk_id) as chunk_id, trim(trim(string_split(any_value(fp.text), chr(10))[1], ' '), ' ') as said, max(lex.score) as confidence from lex join fp on fp.item_id = lex.query_id and fp.rank = 1 group by 1),
+        pa as (select g.id as item_id, case when hd.item_id is null then 'no_candidates' when regexp_replace(lower(coalesce(said, '')), '^\\.+|\\.+$', '', 'g') in ('', 'null', 'none', 'n/a', 'na', 'nil', 'unknown', 'not applicable', '-') then 'low_confidence' else 'answered' end as decision, said, chunk_id, confidence from g left join hd on hd.item_id = g.id)
+        select item_id, decision, case when decision = 'answered' then md5(said) end as answer, case when decision = 'answered' then chunk_id end as citations, round(coalesce(confidence, 0), 6) as confidence from pa""",
+    "tokens_at_k": f"{_CHECK_SQL}, {_FULL}, tk as (select item_id, sum(length(text))::bigint // 4 as tokens from fp where rank <= 6 group by 1) select count(*) as n, floor(avg(tokens))::bigint as mean_tokens, max(tokens) as most from tk",
+    "judge_agreement": _EVALUATION["cohens_kappa"].rsplit("select n,", 1)[0] + "select n, round(kappa, 6) as kappa, case when kappa >= 0.8 then 'strong' when kappa >= 0.6 then 'substantial' else 'weak' end as band, (select count(*) from r where human <> judge) as disagreements, n < 25 as small_sample, kappa >= 0.6 as accepted from z",
     "resolve_items": f"with {_FINDINGS} select * from fi",
     "resolve_report": f"with {_FINDINGS} select severity, count(*) as findings, count(distinct item_id) as items from fi group by 1",
     "blocking_items": f"with {_FINDINGS} select distinct item_id from fi where severity in ('ERROR', 'UNVERIFIABLE')",
 }
+_COUNTED = lambda name, sql, key: f"select '{name}' as check, count(*) as problems, count(distinct {key}) as subjects from ({sql})"
+ORACLES["validate_report"] = " union all ".join([
+    _COUNTED("rules", _EVALUATION["golden_violations"], "id"), _COUNTED("blocking", f"with {_FINDINGS} select * from fi where severity <> 'WARN'", "item_id"), _COUNTED("warnings", f"with {_FINDINGS} select * from fi where severity = 'WARN'", "item_id"),
+    _COUNTED("targets", _RUNS["composition_shortfall"], "target"), _COUNTED("strata", _RUNS["coverage_gaps"], "stratum"),
+])

@@ -179,8 +179,9 @@ def run_log_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluation items that no run has answered yet."""
-    return table(spark, sf, "golden").where("id is not null").select("id").distinct().join(table(spark, sf, "judge_validate").where("outcome = 'ANSWER'").select("id"), "id", "left_anti")
+    """Evaluation items that are still to be answered: the latest row of an item counts."""
+    latest = table(spark, sf, "judge_validate").where("id is not null").groupBy("id").agg(F.max_by("outcome", F.struct("judged_at", "answer_id")).alias("outcome"))
+    return table(spark, sf, "golden").where("id is not null").select("id").distinct().join(latest.where("outcome = 'ANSWER'"), "id", "left_anti")
 
 
 def rate_limit_window(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,7 +275,7 @@ ORACLES = {
         b as (select item_id, truth_idx, case when n_pages is null then 'ERROR:unknown_document' when page > n_pages then 'ERROR:page_beyond_end' when t.clause_id is null then 'WARN:no_clause' when cl.clause_id is null and regexp_matches(t.clause_id, '^(excl|def)[.]') then 'UNVERIFIABLE:clause_absent' when cl.clause_id is null then 'ERROR:clause_absent' when page is not null and not list_contains(coalesce(pg, []), page) then 'ERROR:clause_elsewhere' when len(pg) > 3 then 'UNVERIFIABLE:ambiguous' end as f
         from t left join n on n.source_id = t.document_id left join cl on cl.document_id = t.document_id and cl.clause_id = t.clause_id) select item_id, truth_idx, split_part(f, ':', 1) as severity, split_part(f, ':', 2) as rule from b where f is not null""",
     "run_log_summary": f"with {_A} select run_id, count(*) as n, count(*) filter (outcome = 'ANSWER') as answered, round(sum(wall_gen_s), 4) as seconds from a group by 1",
-    "resume_antijoin": "select distinct id from golden where id is not null and id not in (select id from judge_validate where outcome = 'ANSWER' and id is not null)",
+    "resume_antijoin": "with l as (select id, arg_max(outcome, row(judged_at, answer_id)) as o from judge_validate where id is not null group by 1) select distinct id from golden where id is not null and id not in (select id from l where o = 'ANSWER')",
     "rate_limit_window": "select event_id, count(*) over (partition by user_id order by epoch(date_trunc('second', ts)) range between 3600 preceding and current row) as n from events",
     "rate_limit_accept": _ACCEPTED,
     "rate_limit_streamed": _ACCEPTED,

@@ -67,6 +67,11 @@ def clause_index(spark: SparkSession, sf: str) -> DataFrame:
     return L.clause_index(_parts(spark, sf))
 
 
+def chunk_clause_ids(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "chunks").where("chunk_id is not null and text is not null")
+    return c.select("chunk_id", F.array_join(L.chunk_clause_ids(F.col("text"), F.col("span.clause_id")), ",").alias("clause_ids")).dropDuplicates(["chunk_id"])
+
+
 def _concepts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "golden").where("concept_id is not null").select(F.col("concept_id").alias("concept"))
 
@@ -139,7 +144,7 @@ def orphan_pages(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(prose, ["source_id", "page"], "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (context_labels, stitch_class, caption_header, table_sentences, table_row_groups, table_chunks, extraction_report, serialisation_ratio, clause_index, concept_pages, concept_mapping, page_flags, document_flags, document_defects, blank_pages, locate_hits, chunk_meta, corpus_build, orphan_pages)}
+QUERIES = {f.__name__: f for f in (context_labels, stitch_class, caption_header, table_sentences, table_row_groups, table_chunks, extraction_report, serialisation_ratio, clause_index, chunk_clause_ids, concept_pages, concept_mapping, page_flags, document_flags, document_defects, blank_pages, locate_hits, chunk_meta, corpus_build, orphan_pages)}
 
 _FILLED = lambda c: f"list_filter({c}, lambda f: trim(coalesce(f, '')) <> '')"
 _LABEL = "concat_ws(', ', source_id, case when len(pages) > 1 then 'pages ' || pages[1] || '-' || pages[-1] when len(pages) = 1 then 'page ' || pages[1] end, 'clause ' || nullif(clause_id, ''))"
@@ -197,6 +202,8 @@ ORACLES = {
     "serialisation_ratio": f"""with recursive {_TAB}, {_SENT}, {_GROUPS}, b as (select source_id, count(*) filter (kind = 'table_markdown') as markdown_chunks, count(*) filter (kind = 'table_row_nl') as row_chunks, coalesce(sum(length(text)) filter (kind = 'table_markdown'), 0)::bigint // 4 as markdown_tokens, coalesce(sum(length(text)) filter (kind = 'table_row_nl'), 0)::bigint // 4 as row_tokens from {_CHUNKS} group by 1)
         select *, round(case when markdown_chunks = 0 then 0 else row_chunks / markdown_chunks end, 6) as chunk_ratio, round(case when markdown_tokens = 0 then 0 else row_tokens / markdown_tokens end, 6) as token_ratio from b""",
     "clause_index": f"with {_PARTS}, {_INDEX} select * from ci",
+    "chunk_clause_ids": f"""with {_C}, m as (select chunk_id, list_concat(list_concat([span.clause_id], list_transform(regexp_extract_all(text, '{_Q(L.COMPOUND)}', 0), lambda x: upper(regexp_extract(x, '{_Q(L.COMPOUND)}', 1)) || '.' || regexp_extract(x, '{_Q(L.COMPOUND)}', 2) || case when regexp_extract(x, '{_Q(L.COMPOUND)}', 3) <> '' then '.' || lower(regexp_extract(x, '{_Q(L.COMPOUND)}', 3)) else '' end)), list_transform(regexp_extract_all(text, '{_Q(D.EXCLUSION)}', 1), lambda x: 'excl.' || x)) as ids, span.clause_id as head from c where chunk_id is not null and text is not null),
+        k as (select chunk_id, list_filter(ids, lambda x, i: x is not null and (i = 1 or regexp_full_match(x, '{CANONICAL[1:-1]}'))) as ids from m) select chunk_id, array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i), ',') as clause_ids from k""",
     "concept_pages": f"with {_PARTS}, {_HITS} select * from hc",
     "concept_mapping": f"""with {_PARTS}, {_INDEX}, {_HITS}, cc as (select document_id, concept, list_sort(list(distinct hc.page)) as pages, coalesce(list_sort(list(distinct ci.clause_id) filter (ci.clause_id is not null)), []) as clauses from hc left join ci using (document_id, page) group by 1, 2)
         select s.id as left_id, s.superseded_by as right_id, concept, array_to_string(l.pages, ',') as left_pages, array_to_string(l.clauses, ',') as left_clauses, array_to_string(r.pages, ',') as right_pages, array_to_string(r.clauses, ',') as right_clauses from (select distinct id, superseded_by from sources) s join cc l on l.document_id = s.id join cc r on r.document_id = s.superseded_by and r.concept = l.concept""".replace("superseded_by as right_id, concept,", "superseded_by as right_id, l.concept,"),

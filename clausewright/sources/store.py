@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..operators.retrieval import postings
 
 VERSION = 1
+# What embedding models want before a question, and before a passage; others want nothing.
+QUERY_PREFIXES = {"BAAI/bge-base-en-v1.5": "Represent this sentence for searching relevant passages: ", "BAAI/bge-small-en-v1.5": "Represent this sentence for searching relevant passages: ", "BAAI/bge-large-en-v1.5": "Represent this sentence for searching relevant passages: ", "intfloat/multilingual-e5-small": "query: ", "sentence-transformers/all-MiniLM-L6-v2": ""}
+PASSAGE_PREFIXES = {"intfloat/multilingual-e5-small": "passage: "}
 
 
 def save_index(terms: DataFrame, path: str) -> None:
