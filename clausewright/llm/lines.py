@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 LIMIT = 6
-SALTS = 16  # a crossed line of a hot source is met by its records in so many tasks
+PER_TASK = 50_000  # records of one crossed line that a task meets; a line of more is dealt to more tasks
+FEW = 1_000_000  # lines of that many records that are broadcast (30 MB); more are joined
+KEY = ["source", "k1", "k2"]
 EMPTY_COUNTS = "source string, k1 bigint, k2 int, n bigint"
 
 
@@ -57,17 +59,26 @@ def merge_counts(old: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def crossings(merged: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The lines that reach the limit by this merge."""
-    return merged.where((F.col("n") >= limit) & (F.col("was") < limit)).select("source", "k1", "k2")
+    """The lines that reach the limit by this merge, with their counts."""
+    return merged.where((F.col("n") >= limit) & (F.col("was") < limit)).select(*KEY, "n")
 
 
 def marked_lines(recs: DataFrame, crossed: DataFrame) -> DataFrame:
-    """(id, line_no) of every line of the records that is among the crossed lines."""
+    """(id, line_no) of every line of the records that is among the crossed lines.
+
+    If the crossed lines come with their counts `n`, those of many records are dealt to as many tasks
+    as their count asks for."""
     lines = recs.select("id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("form", line_form(F.col("line"))).where(F.col("form").rlike(r"\p{L}"))
-    left = lines.select("id", "source", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int").alias("salt"), (F.col("pos") + 1).alias("line_no"), *_key(F.col("form")))
-    right = crossed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, ["source", "k1", "k2", "salt"], "left_semi").select("id", "line_no").distinct()
+    left = lines.select("id", "source", F.xxhash64("id", "pos").alias("h"), (F.col("pos") + 1).alias("line_no"), *_key(F.col("form")))
+    if "n" not in crossed.columns:
+        return left.join(crossed, KEY, "left_semi").select("id", "line_no").distinct()
+    tasks = F.ceil(F.col("n") / PER_TASK).cast("int")
+    hot = cut(crossed.where(F.col("n") > PER_TASK).select(*KEY, tasks.alias("tasks")))
+    hot = F.broadcast(hot) if hot.count() <= FEW else hot
+    dealt = left.join(hot, KEY, "left").withColumn("salt", F.pmod(F.col("h"), F.coalesce("tasks", F.lit(1))).cast("int"))
+    right = crossed.select(*KEY, F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"))
+    return dealt.join(right, [*KEY, "salt"], "left_semi").select("id", "line_no").distinct()
 
 
 def rebuilt(recs: DataFrame, marked: DataFrame) -> DataFrame:
@@ -85,9 +96,6 @@ def placed(recs: DataFrame) -> DataFrame:
     return lines.select("source", *_key(F.col("form")), "id", (F.col("pos") + 1).alias("line_no"))
 
 
-KEY = ["source", "k1", "k2"]
-
-
 @dataclass(frozen=True)
 class LineState:
     """Counts, places and counted records so far. All are plain tables: write them, read them, go on."""
@@ -161,5 +169,5 @@ def repeated_lines(rows: DataFrame, key: str = "chunk_id", source: str = "source
     """(key, line_no) over a corpus that is one delta to an empty state. Null ids, sources and texts
     take no part; an empty corpus gives no rows."""
     recs = records(rows, key, source, text)
-    crossed = crossings(merge_counts(recs.sparkSession.createDataFrame([], EMPTY_COUNTS), delta_counts(recs)), limit)
+    crossed = cut(crossings(merge_counts(recs.sparkSession.createDataFrame([], EMPTY_COUNTS), delta_counts(recs)), limit))
     return marked_lines(recs, crossed).select(F.col("id").alias(key), "line_no")

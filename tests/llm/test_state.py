@@ -27,3 +27,11 @@ def test_deltas_equal_the_whole_and_follow_changed_records(spark):
     step = state.advance(again)
     assert {tuple(r) for r in step.cleared.collect()} >= {(f"c{i}", 2) for i in range(5)} and step.marked.count() == 0
     assert lines.in_deltas([]) is None and lines.in_deltas([make([])]).count() == 0
+
+
+def test_lines_of_many_records_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PER_TASK", 4)
+    df = spark.createDataFrame([(f"c{i}", "s", f"body {'abcdefghijklmnopqrst'[i]}\nfooter") for i in range(20)], "chunk_id string, source_id string, text string")
+    for few in (0, 10):
+        monkeypatch.setattr(lines, "FEW", few)
+        assert {tuple(r) for r in lines.repeated_lines(df).collect()} == {(f"c{i}", 2) for i in range(20)}
