@@ -66,12 +66,20 @@ def pack_segments(segments: list[str], most: int = PROSE_CHARS) -> list[str]:
 
 
 def blocks(text: str, most: int = PROSE_CHARS) -> list[tuple[str, str | None, str]]:
-    """(kind, clause_id, text) of the pieces of a document, by a fold over its lines.
+    """(kind, clause_id, text) of the pieces of a document."""
+    return [(kind, clause, piece) for kind, clause, _, piece in outline(text, most)]
+
+
+def outline(text: str, most: int = PROSE_CHARS, furniture: frozenset[str] = frozenset()) -> list[tuple[str, str | None, tuple[str, ...], str]]:
+    """(kind, clause_id, section path, text) of the pieces of a document, by a fold over its lines. The path
+    are the ids of the open headings above. Trimmed lines in `furniture` are headers and footers: no headings.
 
     A section or numbered heading no deeper than the open block closes it; a deeper one and a
     sub-clause marker start a segment of it. A heading of definitions turns definitions on until a
     heading at its depth; inside, each definition is a block and is never split."""
-    out: list[tuple[str, str | None, str]] = []
+    out: list[tuple[str, str | None, tuple[str, ...], str]] = []
+    above: list[tuple[int, str]] = []
+    path: tuple[str, ...] = ()
     kind, clause, depth, mode = "prose", None, 0, 0
     segments: list[list[str]] = []
 
@@ -79,24 +87,36 @@ def blocks(text: str, most: int = PROSE_CHARS) -> list[tuple[str, str | None, st
         parts = ["\n".join(s).strip() for s in segments]
         parts = [p for p in parts if p]
         for piece in ["\n".join(parts)] if kind == "definition" and parts else pack_segments(parts, most):
-            out.append((kind, clause, piece))
+            out.append((kind, clause, path, piece))
+
+    def under(level: int, name: str | None) -> tuple[str, ...]:
+        while above and above[-1][0] >= level:
+            above.pop()
+        ids = tuple(n for _, n in above)
+        if name:
+            above.append((level, name))
+        return ids
 
     for line in text.split("\n"):
         if re.match(PAGE_NUMBER, line):
             continue
-        m_def = mode and re.match(DEFINITION, line)
-        m_sec, m_num = re.match(SECTION, line), re.match(NUMBERED, line)
+        plain = line.strip() in furniture
+        m_def = not plain and mode and re.match(DEFINITION, line)
+        m_sec, m_num = (None, None) if plain else (re.match(SECTION, line), re.match(NUMBERED, line))
         level = 1 if m_sec else m_num[1].count(".") + 1 if m_num else 0
-        if re.match(DEFINITIONS, line):
+        if not plain and re.match(DEFINITIONS, line):
             close()
             mode = depth = level or 1
+            path = under(depth, "definitions")
             kind, clause, segments = "prose", None, [[line]]
         elif m_def:
             close()
+            path = under(mode + 1, None)
             kind, clause, depth, segments = "definition", "def." + re.sub("[^a-z0-9]+", "_", m_def[1].lower()).strip("_"), mode + 1, [[line]]
         elif level and (not segments or level <= depth or depth == 0):
             close()
             mode = 0 if mode and level <= mode else mode
+            path = under(level, m_sec[1] if m_sec else m_num[1])
             kind, clause, depth, segments = "prose", m_sec[1] if m_sec else m_num[1], level, [[line]]
         elif not segments or level or re.match(SUB_CLAUSE, line):
             segments.append([line])
@@ -107,15 +127,15 @@ def blocks(text: str, most: int = PROSE_CHARS) -> list[tuple[str, str | None, st
 
 
 def clause_chunks(docs: DataFrame, key: str, text: str, most: int = PROSE_CHARS) -> DataFrame:
-    """(key, ordinal, kind, clause_id, text): a null text has no pieces. The fold is per row, nothing is shuffled."""
+    """(key, ordinal, kind, clause_id, section_path, text): a null text has no pieces. The fold is per row, nothing is shuffled."""
     kind = docs.schema[key].dataType.simpleString()
 
     def rows(batches):  # noqa: ANN001, ANN202
         for df in batches:
-            got = [(k, i, *b) for k, t in zip(df.iloc[:, 0], df.iloc[:, 1]) for i, b in enumerate(blocks(t, most))]
-            yield pd.DataFrame(got, columns=["id", "ordinal", "kind", "clause_id", "text"])
+            got = [(k, i, kind, clause, list(path), piece) for k, t in zip(df.iloc[:, 0], df.iloc[:, 1]) for i, (kind, clause, path, piece) in enumerate(outline(t, most))]
+            yield pd.DataFrame(got, columns=["id", "ordinal", "kind", "clause_id", "section_path", "text"])
 
-    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInPandas(rows, f"id {kind}, ordinal int, kind string, clause_id string, text string").withColumnRenamed("id", key)
+    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInPandas(rows, f"id {kind}, ordinal int, kind string, clause_id string, section_path array<string>, text string").withColumnRenamed("id", key)
 
 
 def table_rows(chunks: DataFrame, *keep: Column | str) -> DataFrame:

@@ -125,7 +125,8 @@ def clause_ids_on_line(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clause_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return D.clause_chunks(table(spark, sf, "documents"), "doc_id", "text")
+    got = D.clause_chunks(table(spark, sf, "documents"), "doc_id", "text")
+    return got.withColumn("section_path", F.array_join("section_path", ">"))
 
 
 def table_markdown(spark: SparkSession, sf: str) -> DataFrame:
