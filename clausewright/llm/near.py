@@ -44,6 +44,7 @@ BITS = 256
 MAPS = [f"m{i}" for i in range(BITS // 64)]
 SMALL = 1_000_000  # ids of this many rows (8 MB) are broadcast, more are shuffled
 BLOCK = 128  # rows of a block that are paired in one piece; larger blocks are cut into a grid of such
+COLUMN = 40  # bits of a column of the incidence matrix; fewer make the shuffle of the cells smaller
 CELLS = 2_000_000  # cells of the incidence matrix in a task, 32 MB
 LONGS = pa.list_(pa.int64())
 WORDS = re.compile(r"[^\W_]+")
@@ -96,8 +97,9 @@ def orders() -> np.ndarray:
 
 
 def columns(docs: list[np.ndarray]) -> np.ndarray:
-    """The composite n-gram of every band, a row of BANDS per document. The n-grams are hashes
-    already, so an odd factor is order enough."""
+    """The composite n-gram of every band, a row of BANDS per document, as COLUMN bits. The n-grams are
+    hashes already, so an odd factor is order enough. Two columns that fall together by chance only
+    make pairs that the bounds discard."""
     least = np.full((len(docs), BANDS * ORDERS), 2**32 - 1, np.uint32)
     room = np.empty((256, BANDS * ORDERS), np.uint32)
     for row, grams in zip(least, docs):
@@ -108,7 +110,7 @@ def columns(docs: list[np.ndarray]) -> np.ndarray:
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(docs), BANDS))
     for k in range(ORDERS):
         key = mixed(key * MIX + least[:, :, k].astype(np.uint64))
-    return key
+    return key >> np.uint64(64 - COLUMN)
 
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +159,7 @@ def incidence(texts: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFr
 
 
 def cells(docs: DataFrame) -> DataFrame:
-    """(col, cls): one row per document and composite n-gram; copies within a task are dropped."""
+    """(cls, col): one row per document and composite n-gram; copies within a task are dropped."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -173,9 +175,9 @@ def cells(docs: DataFrame) -> DataFrame:
                 seen.clear()
             if fresh:
                 cols = columns([flat[ends[i] : ends[i + 1]].view(np.uint32) for i in fresh])
-                yield pa.RecordBatch.from_arrays([pa.array(cols.ravel().view(np.int64)), pa.array(np.repeat(cls[fresh], BANDS))], ["col", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls[fresh], BANDS)), pa.array(cols.ravel().view(np.int64))], ["cls", "col"])
 
-    return docs.select("cls", "grams").mapInArrow(rows, "col bigint, cls bigint")
+    return docs.select("cls", "grams").mapInArrow(rows, "cls bigint, col bigint")
 
 
 def product(incident: DataFrame, parts: int | None = None) -> DataFrame:
@@ -212,7 +214,7 @@ def product(incident: DataFrame, parts: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(left, LONGS), pa.array(right, LONGS)], ["l", "r"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        got = [(b.column("col").to_numpy(), b.column("cls").to_numpy()) for b in batches]
         if got:
             yield from blocks(*(np.concatenate(x) for x in zip(*got)))
 
