@@ -30,14 +30,15 @@ def ids(df):
     return got
 
 
-def embedder(batch):
-    return [[1.0, 0.0] if "cataract" in t else [0.0, 1.0] for t in batch]
+def embedder():
+    """Made within a function, so that it goes to the workers by value."""
+    return lambda batch: [[1.0, 0.0] if "cataract" in t else [0.0, 1.0] for t in batch]
 
 
 def test_retrievers_keep_one_contract(spark):
     q = asked(spark, ("a", "cataract surgery"), ("b", "maternity"), ("n", None), ("e", "  "))
-    vectors = V.embedded(texts(spark), embedder)
-    lexical, dense = V.LexicalRetriever(texts(spark)), V.DenseRetriever(vectors, embedder)
+    vectors = V.embedded(texts(spark), embedder())
+    lexical, dense = V.LexicalRetriever(texts(spark)), V.DenseRetriever(vectors, embedder())
     assert ids(lexical.retrieve(q, 2)) == {"a": ["c1", "c2"], "b": ["c3"]}
     assert ids(dense.retrieve(q, 1)) == {"a": ["c1"], "b": ["c3"]}
     fused = V.FusedRetriever((lexical, dense))
@@ -60,35 +61,38 @@ def test_retrievers_keep_one_contract(spark):
         V.LexicalRetriever(texts(spark), strict=True).retrieve(q)
 
 
-def provider(prompts):
-    out = []
-    for p in prompts:
-        if "QUESTION: fail" in p:
-            error = RuntimeError("down")
-            error.kind = "transport"
-            raise error
-        if "QUESTION: mend" in p and "not valid JSON" not in p:
-            out.append("{broken")
-        elif "QUESTION: broken" in p:
-            out.append("no json")
-        elif "QUESTION: invent" in p:
-            out.append(json.dumps({"answer": "x", "citations": [99]}))
-        elif "QUESTION: decline" in p:
-            out.append(json.dumps({"answer": "N/A", "citations": []}))
-        else:
-            out.append("```json\n" + json.dumps({"answer": " yes ", "citations": [1, 1, 2]}) + "\n```")
-    return out
+def provider():
+    def answer(prompts):
+        out = []
+        for p in prompts:
+            if "QUESTION: fail" in p:
+                error = RuntimeError("down")
+                error.kind = "transport"
+                raise error
+            if "QUESTION: mend" in p and "not valid JSON" not in p:
+                out.append("{broken")
+            elif "QUESTION: broken" in p:
+                out.append("no json")
+            elif "QUESTION: invent" in p:
+                out.append(json.dumps({"answer": "x", "citations": [99]}))
+            elif "QUESTION: decline" in p:
+                out.append(json.dumps({"answer": "N/A", "citations": []}))
+            else:
+                out.append("```json\n" + json.dumps({"answer": " yes ", "citations": [1, 1, 2]}) + "\n```")
+        return out
+
+    return answer
 
 
 def test_pipeline_decides_each_case(spark):
     passages = spark.createDataFrame([(i, "doc", 3, None, t) for i, t in TEXTS if t], "chunk_id string, document_id string, page int, clause_id string, text string")
     q = spark.createDataFrame([(w, f"{w} cataract surgery") for w in ("fail", "mend", "broken", "invent", "decline", "good")] + [("none", "dental"), ("null", None), (None, "cataract"), ("good", "good cataract surgery")], "item_id string, question string")
-    got = {r["item_id"]: r for r in P.answered(q, V.LexicalRetriever(texts(spark)), passages, provider, 2).collect()}
+    got = {r["item_id"]: r for r in P.answered(q, V.LexicalRetriever(texts(spark)), passages, provider(), 2).collect()}
     assert {k: r["decision"] for k, r in got.items()} == {"fail": "service_degraded", "mend": "answered", "broken": "malformed_generation", "invent": "malformed_generation", "decline": "low_confidence", "good": "answered", "none": "no_candidates", "null": "no_candidates"}
     assert got["good"]["answer"] == "yes" and got["good"]["citations"] == ["c1", "c2"] and got["good"]["confidence"] > 0
     assert got["mend"]["attempts"] == 2 and got["broken"]["attempts"] == 2 and got["none"]["confidence"] == 0.0
     assert got["invent"]["answer"] is None and got["invent"]["citations"] is None
-    assert P.answered(q.where("false"), V.LexicalRetriever(texts(spark)), passages, provider).count() == 0
+    assert P.answered(q.where("false"), V.LexicalRetriever(texts(spark)), passages, provider()).count() == 0
 
 
 def test_fetch_outcomes(spark):
