@@ -2,28 +2,44 @@
 
 In this order: footnote marks after a figure go, before they could turn into digits; characters that
 show nothing and soft hyphens go; compatibility forms are composed (NFKC); quotes and dashes are
-folded; hard blanks become blanks. Everything but NFKC is an expression of the JVM; only texts with
-a character beyond ASCII pass through Python for it.
+folded; hard blanks become blanks. Nothing of this touches a text of ASCII characters, which stays in
+the JVM; the others pass through Python once, for all steps, since only Python can compose them.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .text import FOLDS, LIGATURES, ZERO_WIDTH, fold_punctuation, numeric_spans, strip_footnotes, tokens
+from .text import FOLDS, LIGATURES, RAISED, ZERO_WIDTH, numeric_spans, strip_footnotes, tokens
 
+FOOTNOTE = re.compile(rf"(?<=[0-9)/\-])[{RAISED}]+")
+GONE = re.compile(f"[{ZERO_WIDTH}\u00ad]+")
+FOLDED = str.maketrans({**FOLDS, "…": "...", "\u00a0": " "})
 
-def nfkc(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
-    odd = c.rlike(r"[^\x00-\x7f]")
-    return F.when(odd, compose(F.when(odd, c))).otherwise(c)
+def composed(text: str) -> str:
+    """A text after composition, its marks and invisible characters gone."""
+    return unicodedata.normalize("NFKC", GONE.sub("", FOOTNOTE.sub("", text)))
+
+
+@F.pandas_udf(StringType())
+def _composed(s: pd.Series) -> pd.Series:
+    return s.map(composed, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _normalised(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: composed(t).translate(FOLDED), na_action="ignore")
+
+
+def _odd(text: Column) -> Column:
+    return text.rlike(r"[^\x00-\x7f]")
 
 
 def stripped(text: Column) -> Column:
@@ -33,7 +49,7 @@ def stripped(text: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """The normal form. Null stays null, empty stays empty."""
-    return F.translate(fold_punctuation(nfkc(stripped(text))), " ", " ")
+    return F.when(_odd(text), _normalised(F.when(_odd(text), text))).otherwise(text)
 
 
 def query_form(text: Column) -> Column:
@@ -58,7 +74,7 @@ def change_counts(text: Column) -> dict[str, Column]:
     count = lambda c, p: F.regexp_count(c, F.lit(p)).cast("bigint")
     return {
         "footnotes": (F.length(t) - F.length(bare)).cast("bigint"), "zero_width": count(bare, f"[{ZERO_WIDTH}]"), "soft_hyphens": count(bare, "­"), "ligatures": count(stripped(t), f"[{LIGATURES}]"),
-        "punctuation": count(nfkc(stripped(t)), f"[{''.join(k for k in FOLDS)}]"), "nbsp": count(t, " "), "chars_in": F.length(t).cast("bigint"), "chars_out": F.length(normalised(t)).cast("bigint"),
+        "punctuation": count(F.when(_odd(t), _composed(F.when(_odd(t), t))).otherwise(t), f"[{''.join(k for k in FOLDS)}]"), "nbsp": count(t, " "), "chars_in": F.length(t).cast("bigint"), "chars_out": F.length(normalised(t)).cast("bigint"),
     }
 
 

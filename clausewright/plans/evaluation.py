@@ -21,10 +21,15 @@ def _truths(spark: SparkSession, sf: str) -> DataFrame:
     return _golden(spark, sf).select(F.col("id").alias("item_id"), F.posexplode("ground_truth_spans").alias("truth_idx", "s")).select("item_id", "truth_idx", "s.document_id", "s.page", "s.clause_id")
 
 
-def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    """The spans of the ten best chunks of every question, each under all its clause ids."""
+def _best(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best chunks of every question."""
     asked = _golden(spark, sf).select(F.col("id").alias("query_id"), F.col("question").alias("text"))
-    best = R.bm25_blocks(_terms(spark, sf), asked)
+    return R.bm25_blocks(_terms(spark, sf), asked)
+
+
+def _ranked(spark: SparkSession, sf: str, best: DataFrame | None = None) -> DataFrame:
+    """The spans of the ten best chunks of every question, each under all its clause ids."""
+    best = _best(spark, sf) if best is None else best
     spans = table(spark, sf, "chunks").select(F.col("chunk_id").alias("id"), "span", F.array_distinct(F.concat(F.array("span.clause_id"), F.coalesce("meta.clause_ids", F.array().cast("array<string>")))).alias("c")).dropDuplicates(["id"])
     return best.join(spans, "id").select(F.col("query_id").alias("item_id"), "rank", "span.document_id", "span.page", F.explode_outer("c").alias("clause_id"))
 

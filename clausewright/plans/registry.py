@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from . import answering, corpus, evaluation, history, ingest, retrieval, runs, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -13,7 +14,16 @@ MODULES = (history, retrieval, evaluation, runs, ingest, stores, answering, corp
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    """Every query, with the package sent to the Python workers before it runs."""
+
+    def shipped(f: Query) -> Query:
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf)
+
+        return run
+
+    return {name: shipped(f) for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
-from ..operators import retrieval as R
 from ..operators import runs as N
 from ..sources.parquet import table
-from .evaluation import _A, _CLEAN, _G, _PREFIX, _SCORES, _golden, _ranked, _truths
-from .retrieval import _terms
+from .evaluation import _A, _CLEAN, _G, _PREFIX, _SCORES, _best, _golden, _ranked, _truths
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,19 +22,20 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(g, "id").select(F.col("answer_id").alias("result_id"), F.coalesce("run_id", F.lit("")).alias("run_id"), F.col("id").alias("item_id"), (F.col("outcome") == "ABSTAIN").alias("abstained"), "answer", "citations", F.round(F.col("wall_gen_s") * 1000, 1).alias("wall_ms"), F.coalesce("asked", F.lit(0)).alias("input_tokens"), F.coalesce("said", F.lit(0)).alias("output_tokens"))
 
 
-def _passages(spark: SparkSession, sf: str) -> DataFrame:
-    asked = _golden(spark, sf).select(F.col("id").alias("query_id"), F.col("question").alias("text"))
+def _passages(spark: SparkSession, sf: str, best: DataFrame | None = None) -> DataFrame:
+    best = _best(spark, sf) if best is None else best
     spans = table(spark, sf, "chunks").select(F.col("chunk_id").alias("id"), "span.document_id", "span.clause_id").dropDuplicates(["id"])
-    return R.bm25_blocks(_terms(spark, sf), asked).join(spans, "id").select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("chunk_id"), "document_id", "clause_id")
+    return best.join(spans, "id").select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("chunk_id"), "document_id", "clause_id")
 
 
-def _checked(spark: SparkSession, sf: str) -> DataFrame:
-    return N.behaviour(_items(spark, sf), _results(spark, sf), _passages(spark, sf))
+def _checked(spark: SparkSession, sf: str, best: DataFrame | None = None) -> DataFrame:
+    return N.behaviour(_items(spark, sf), _results(spark, sf), _passages(spark, sf, best))
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    scores = E.ranking_scores(_items(spark, sf).select("item_id"), _ranked(spark, sf), _truths(spark, sf))
-    return N.verdicts(_checked(spark, sf), scores)
+    best = _best(spark, sf)  # ranked once, for the scores and for the citations
+    scores = E.ranking_scores(_items(spark, sf).select("item_id"), _ranked(spark, sf, best), _truths(spark, sf))
+    return N.verdicts(_checked(spark, sf, best), scores)
 
 
 _CHECKS = ("abstained_correctly", "abstained_wrongly", "injection_resisted", "conflict_surfaced", "grounded", "without_citations", "hard_failure")
