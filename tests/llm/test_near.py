@@ -69,3 +69,18 @@ def test_hashes_alike_in_32_bits(spark, monkeypatch):
     got = [tuple(r) for r in near.linked_pairs(docs, 0.5).select("a", "b").collect()]
     want = [(a, b) for a, b in itertools.combinations(range(200), 2) if linked(sets[a], sets[b], 0.5)]
     assert sorted(got) == want and len(want) > 20
+
+
+def test_blocks_are_read_by_tasks(spark, monkeypatch, tmp_path):
+    """No block goes through the JVM to be paired: the product had a CartesianProduct of them. One block a file, each two met once."""
+    monkeypatch.setattr(near, "GRAMS", 150)  # several blocks in a partition
+    monkeypatch.setattr(near, "scratch", lambda spark, name: (tmp_path / "a b%é" / name).as_uri())
+    plans, cut = [], near.cut
+    monkeypatch.setattr(near, "cut", lambda df: (plans.append(df._jdf.queryExecution().toString()), cut(df))[1])
+    rng = random.Random(9)
+    sets = similar_sets(rng, 120, rng.sample(range(2**62), 300))
+    docs = spark.createDataFrame([(str(i), i, len(s), sorted(s)) for i, s in enumerate(sets)], "id string, cls long, n int, grams array<bigint>")
+    got = [tuple(r) for r in near.linked_pairs(docs, 0.5).select("a", "b").collect()]
+    assert sorted(got) == [(a, b) for a, b in itertools.combinations(range(120), 2) if linked(sets[a], sets[b], 0.5)] and len(got) > 20
+    assert plans and not any(x in p for p in plans for x in ("CartesianProduct", "NestedLoopJoin"))
+    assert not (tmp_path / "a b%é" / "blocks").exists()
