@@ -74,7 +74,7 @@ def test_hashes_alike_in_32_bits(spark, monkeypatch):
 def test_blocks_are_read_by_tasks(spark, monkeypatch, tmp_path):
     """No block goes through the JVM to be paired: the product had a CartesianProduct of them. One block a file, each two met once."""
     monkeypatch.setattr(near, "GRAMS", 150)  # several blocks in a partition
-    monkeypatch.setattr(near, "scratch", lambda spark, name: (tmp_path / "a b%é" / name).as_uri())
+    monkeypatch.setattr(near, "scratch", lambda spark, name: f"file://{tmp_path}/a b%é/{name}")
     plans, cut = [], near.cut
     monkeypatch.setattr(near, "cut", lambda df: (plans.append(df._jdf.queryExecution().toString()), cut(df))[1])
     rng = random.Random(9)
@@ -83,4 +83,14 @@ def test_blocks_are_read_by_tasks(spark, monkeypatch, tmp_path):
     got = [tuple(r) for r in near.linked_pairs(docs, 0.5).select("a", "b").collect()]
     assert sorted(got) == [(a, b) for a, b in itertools.combinations(range(120), 2) if linked(sets[a], sets[b], 0.5)] and len(got) > 20
     assert plans and not any(x in p for p in plans for x in ("CartesianProduct", "NestedLoopJoin"))
-    assert not (tmp_path / "a b%é" / "blocks").exists()
+    assert not [*(tmp_path / "a b%é").iterdir()]
+
+
+def test_words_of_tokens():
+    said = ["", " _ ", "a_b c-d 'e' f", "\x1ca\x85b　c​d", "ΟΔΟΣ ΟΔΟΣ. Σ", "½a 1٣ अ्क ²3", "é x̂y ﬁn ＡＢ", "a b a"]
+    known = near.Tokens()
+    numbers = [known.of(near.common_form(t).lower()) for t in said]
+    ids, size = known.words(numbers)
+    words = [near.text_words(t) for t in said]
+    assert size.tolist() == [len(w) for w in words] and ids.tolist() == [i for w in words for i in near.WordIds().of(w).tolist()]
+    assert [x.tolist() for x in known.words(numbers[:2])] == [[], [0, 0]]
