@@ -93,9 +93,9 @@ def floor_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     items = _items(spark, sf)
     both = A.engine(items, "null").unionByName(A.engine(items, "echo"))
     results = both.select(F.concat_ws("/", "engine", "item_id").alias("result_id"), F.col("engine").alias("run_id"), "item_id", "abstained", "answer", F.array().cast("array<int>").alias("citations"), F.lit(0.0).alias("wall_ms"), F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"))
-    none = _passages(spark, sf).where("false")
-    scores = E.ranking_scores(items.select("item_id"), _ranked(spark, sf).where("false"), _truths(spark, sf))
-    got = N.aggregates(N.verdicts(N.behaviour(items, results, none), scores)).where("slice = 'all'")
+    none = spark.createDataFrame([], "query_id string, id string, score double, rank int")  # nothing is retrieved
+    scores = E.ranking_scores(items.select("item_id"), _ranked(spark, sf, none), _truths(spark, sf))
+    got = N.aggregates(N.verdicts(N.behaviour(items, results, _passages(spark, sf, none)), scores)).where("slice = 'all'")
     return got.select("run_id", "n_items", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg", "hit_rate", "abstain_recall", "false_abstention_rate", "unsupported_answer_rate", "injection_resistance")), F.col("expected_cost").cast("bigint").alias("expected_cost"))
 
 

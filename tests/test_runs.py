@@ -123,3 +123,15 @@ def test_engines(spark):
     assert got == {"a": 0.4, **dict.fromkeys("uicse", 0.0)}
     with pytest.raises(ValueError):
         A.engine(items(spark), "other")
+
+
+def test_floors_retrieve_nothing(spark, tmp_path, monkeypatch):
+    from clausewright.operators import retrieval as R
+    from clausewright.plans import answering
+
+    span = "array<struct<document_id: string, page: int, clause_id: string>>"
+    spark.createDataFrame([("a", "q a", "answer", None, "s", "human", None, False, [("d", 1, "4")]), ("u", "q u", "abstain", None, "s", "human", None, False, None)], f"id string, question string, expected_behaviour string, injection_canary string, strata string, authored_by string, must_not_cite array<string>, expected_to_fail boolean, ground_truth_spans {span}").write.parquet(f"{tmp_path}/golden.parquet")
+    spark.createDataFrame([("c", "q a", ("d", 1, "4"), ([],))], "chunk_id string, text string, span struct<document_id: string, page: int, clause_id: string>, meta struct<clause_ids: array<string>>").write.parquet(f"{tmp_path}/chunks.parquet")
+    monkeypatch.setattr(R, "bm25_blocks", lambda *a, **k: pytest.fail("questions were ranked"))
+    got = {r["run_id"]: r for r in answering.floor_aggregate(spark, str(tmp_path)).collect()}
+    assert (got["null"]["n_items"], got["null"]["recall"], got["null"]["abstain_recall"], got["echo"]["unsupported_answer_rate"], got["echo"]["expected_cost"]) == (2, 0.0, 1.0, 1.0, 50)
