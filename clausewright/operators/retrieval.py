@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -91,16 +92,17 @@ class Best:
     """The k best items of every query of a block, kept while batches of items go by. What scores
     below a query's k-th best so far is dropped, which cannot change the result."""
 
-    def __init__(self, names: list, k: int) -> None:
-        self.names, self.k = names, k
+    def __init__(self, names: list, score: Callable[[pa.RecordBatch], np.ndarray], k: int) -> None:
+        """score: of a batch of items, one row per query, one column per item."""
+        self.names, self.score, self.k = names, score, k
         self.least, self.held = np.full(len(names), -np.inf), None
 
-    def add(self, ids: np.ndarray, score: np.ndarray, counts: np.ndarray) -> None:
-        """score and counts (whether the pair may be ranked): one row per query, one column per item."""
-        rounded = np.where(counts, np.round(score, 9), -np.inf)
+    def add(self, items: pa.RecordBatch) -> None:
+        ids, score = items.column("id").to_pandas().to_numpy(), self.score(items)
+        rounded = np.round(score, 9)
         if len(ids) > self.k:
             self.least = np.maximum(self.least, np.partition(rounded, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
-        q, j = np.nonzero(counts & (rounded >= self.least[:, None]))
+        q, j = np.nonzero(rounded >= self.least[:, None])
         if not len(q):
             return
         new = pd.DataFrame({"q": q, "id": ids[j], "score": score[q, j], "r": -rounded[q, j]})
@@ -110,23 +112,208 @@ class Best:
         self.least[kth["q"]] = np.maximum(self.least[kth["q"]], -kth["r"])
         self.held = held[rank < self.k]
 
-    def rows(self) -> pa.RecordBatch | None:
-        if self.held is None:
-            return None
-        return pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": [self.names[x] for x in self.held["q"]], "id": self.held["id"].to_numpy(), "score": self.held["score"].to_numpy()}), preserve_index=False)
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.held is not None:
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": [self.names[x] for x in self.held["q"]], "id": self.held["id"].to_numpy(), "score": self.held["score"].to_numpy()}), preserve_index=False)
+
+
+def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of runs, one after another."""
+    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+class Asked(NamedTuple):
+    """A block of queries, each a run of words (at least one), so that neighbours begin with the same words."""
+
+    names: list
+    words: list[str]  # the most frequent first
+    weight: np.ndarray  # idf of the words
+    starts: np.ndarray
+    counts: np.ndarray
+    flat: np.ndarray  # words of the queries
+
+
+def asked_block(names: list, words: list[str], weight: np.ndarray, q: np.ndarray, t: np.ndarray, heavy: int) -> Asked:
+    """q, t: query and word of every pair. Within a query the words that most queries have come first, those beyond the `heavy` ones last."""
+    often = np.bincount(t, minlength=len(words))
+    place = np.empty(len(words), np.int64)
+    place[np.lexsort((-often, np.arange(len(words)) >= heavy))] = np.arange(len(words))
+    order = np.lexsort((place[t], q))
+    counts = np.bincount(q, minlength=len(names))
+    starts = np.cumsum(counts) - counts
+    runs, t = place[t[order]].tolist(), t[order]
+    order = np.array(sorted(range(len(names)), key=[runs[i : i + n] for i, n in zip(starts.tolist(), counts.tolist())].__getitem__))
+    flat = t[_runs(starts[order], counts[order])]
+    counts = counts[order]
+    return Asked([names[i] for i in order.tolist()], words, weight, np.cumsum(counts) - counts, counts, flat)
+
+
+PAIRS = 1 << 21  # words of queries whose exact scores are summed at a time
+MOST = 16  # new items of a query that are ranked at a time
+
+
+class Postings:
+    """The k best documents by BM25 of every query of a block, kept while batches of documents go by in the order of their ids.
+
+    A score's upper bound is summed in whole steps, of which a query's greatest possible score has
+    about as many as 16 bits hold, document by document in one piece per word; what queries have in
+    common at their beginning is summed once. Only where the bound reaches a query's k-th best so far
+    is the score itself worked out. Later ids lose ties, so equal scores need no look at them."""
+
+    def __init__(self, asked: Asked, k: int, k1: float, b: float, avgdl: float, heavy: int) -> None:
+        self.asked, self.k, self.k1, self.b, self.avgdl, self.dense = asked, k, k1, b, avgdl, min(heavy, len(asked.words))
+        self.vocabulary = pa.array(asked.words, pa.string())
+        longest = int(asked.counts.max())
+        self.kind = np.uint16 if longest < 1 << 14 else np.uint32
+        self.step = max(float(np.add.reduceat(asked.weight[asked.flat], asked.starts).max()) * (k1 + 1) / (np.iinfo(self.kind).max - longest - 1), 1e-300)
+        runs, counts = np.split(asked.flat, asked.starts[1:]), asked.counts
+        # how many words a query has in common with the one before it, from the first on
+        self.common = [0]
+        for x, y in zip(runs[:-1], runs[1:]):
+            n = min(len(x), len(y))
+            differs = np.flatnonzero(x[:n] != y[:n])
+            self.common.append(int(differs[0]) if len(differs) else n)
+        self.score, self.rounded, self.doc = np.zeros((len(counts), k)), np.full((len(counts), k), -np.inf), np.full((len(counts), k), -1)
+        self.ids: list[pa.Array] = []
+        self.seen = 0
+
+    def add(self, docs: pa.RecordBatch) -> None:
+        a, size, dense = self.asked, docs.num_rows, self.dense
+        dl = docs.column("dl").to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(docs.column("said"), " ")
+        word = pc.fill_null(pc.index_in(split.flatten(), value_set=self.vocabulary), -1).to_numpy().astype(np.int64)
+        key = (np.repeat(np.arange(size), np.diff(split.offsets.to_numpy())) + size * word)[word >= 0]
+        norm = self.k1 * ((1 - self.b) + self.b * dl / self.avgdl)
+
+        def weighed(key: np.ndarray, tf: np.ndarray) -> np.ndarray:
+            x, d = np.divmod(key, size)
+            return a.weight[x] * tf * (self.k1 + 1) / (tf + norm[d])
+
+        tf = np.bincount(key[key < dense * size], minlength=dense * size)
+        at = np.flatnonzero(tf)
+        exact, bound = np.zeros(dense * size), np.zeros(dense * size, self.kind)
+        exact[at] = weighed(at, tf[at])
+        del tf
+        bound[at] = np.ceil(exact[at] / self.step)
+        light, tf = np.unique(key[key >= dense * size], return_counts=True)
+        light_exact = weighed(light, tf)
+        light_bound = np.ceil(light_exact / self.step).astype(self.kind)
+        y, first = np.unique(light // size, return_index=True)
+        posts = {w: (light[i:j] % size, light_bound[i:j]) for w, i, j in zip(y.tolist(), first.tolist(), [*first[1:].tolist(), len(light)])}
+
+        def scores(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+            n = a.counts[q]
+            t = a.flat[_runs(a.starts[q], n)]
+            cell = t.astype(np.int64) * size + np.repeat(d, n)
+            frequent = t < dense
+            w = np.zeros(len(t))
+            w[frequent] = exact[cell[frequent]]
+            if len(light) and not frequent.all():
+                rest = cell[~frequent]
+                i = np.minimum(np.searchsorted(light, rest), len(light) - 1)
+                w[~frequent] = np.where(light[i] == rest, light_exact[i], 0)
+            return np.add.reduceat(w, np.cumsum(n) - n)
+
+        rows = list(bound.reshape(dense, size))
+        sums = list(np.zeros((max(self.common) + 1, size), self.kind))
+        scratch, mask = np.empty(size, self.kind), np.empty(size, bool)
+        flat, starts, counts, common = a.flat.tolist(), a.starts.tolist(), a.counts.tolist(), [*self.common, 0]
+        # a rounded score above the k-th is at least this many steps
+        least = np.maximum(np.ceil((self.rounded[:, -1] - 1e-8) / self.step - 1e-6), 1).tolist()
+        at_q: list[int] = []
+        at_d: list[np.ndarray] = []
+        pending = 0
+        for i, floor in enumerate(least):
+            keep, after, start = common[i], common[i + 1], starts[i]
+            now = sums[keep]
+            for j in range(keep, counts[i]):
+                t = flat[start + j]
+                to = sums[j + 1] if j < after else scratch
+                if t < dense:
+                    np.add(now, rows[t], out=to)
+                else:
+                    if to is not now:
+                        to[:] = now
+                    if t in posts:
+                        d, w = posts[t]
+                        to[d] += w
+                now = to
+            np.greater_equal(now, floor, out=mask)
+            d = mask.nonzero()[0]
+            if not len(d):
+                continue
+            if floor == 1 and len(d) > self.k:  # every step taken can be too high by less than one
+                reached = now[d].astype(np.int64)
+                d = d[reached >= np.partition(reached, len(d) - self.k)[len(d) - self.k] - counts[i]]
+            at_q.append(i)
+            at_d.append(d)
+            pending += len(d) * counts[i]
+            if pending >= PAIRS:
+                self._keep(at_q, at_d, scores)
+                at_q, at_d, pending = [], [], 0
+        if at_q:
+            self._keep(at_q, at_d, scores)
+        self.ids.append(docs.column("id"))
+        self.seen += size
+
+    def _keep(self, at_q: list[int], at_d: list[np.ndarray], scores: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+        """Rank the documents at_d (ascending) of each query of at_q (ascending) among those kept."""
+        q, d = np.repeat(np.array(at_q), [len(d) for d in at_d]), np.concatenate(at_d)
+        score = scores(q, d)
+        rounded = np.round(score, 9)
+        k = self.k
+        better = np.flatnonzero((rounded > self.rounded[q, -1]) & (score > 0))
+        q, d, score, rounded = q[better], d[better] + self.seen, score[better], rounded[better]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        while len(q):
+            now = place < MOST
+            some, row = np.unique(q[now], return_inverse=True)
+            col = place[now] + k
+            wide = [np.concatenate([old[some], np.full((len(some), MOST), none, old.dtype)], axis=1) for old, none in ((self.rounded, -np.inf), (self.score, 0), (self.doc, -1))]
+            for x, new in zip(wide, (rounded, score, d)):
+                x[row, col] = new[now]
+            order = np.argsort(-wide[0], axis=1, kind="stable")[:, :k]
+            self.rounded[some], self.score[some], self.doc[some] = (np.take_along_axis(x, order, axis=1) for x in wide)
+            q, d, score, rounded, place = q[~now], d[~now], score[~now], rounded[~now], place[~now] - MOST
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.ids:
+            return
+        ids = pa.concat_arrays(self.ids)
+        names = pa.array(self.asked.names)
+        for i in range(0, len(self.doc), 4096):
+            q, j = np.nonzero(self.doc[i : i + 4096] >= 0)
+            if len(q):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q + i)), ids.take(pa.array(self.doc[q + i, j])), pa.array(self.score[q + i, j])], ["query_id", "id", "score"])
 
 
-Scorer = Callable[[bytes], tuple[list, Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]]]
+Ranker = Callable[[bytes], "Best | Postings"]
 BLOCK = 2048  # queries of a block, about
 SENT = 64 << 20  # bytes of query blocks that travel to every task at once
 GROUP = 20_000  # items of a group where the blocks do not travel
+FIRST = 1024  # items of a task's first batch; the next ones are four times as large each, up to the width
+
 
+def batched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of FIRST rows, then more, `width` at most."""
+    held, n, want = [], 0, min(FIRST, width)
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, want - n))
+            at, n = at + held[-1].num_rows, n + held[-1].num_rows
+            if n == want:
+                yield pa.concat_batches(held)
+                held, n, want = [], 0, min(4 * want, width)
+    if held:
+        yield pa.concat_batches(held)
 
-def in_blocks(items: DataFrame, blocks: DataFrame, scorer: Scorer, qkind: str, k: int, width: int = 2000, sent: int = SENT) -> DataFrame:
+
+def in_blocks(items: DataFrame, blocks: DataFrame, ranker: Ranker, qkind: str, k: int, width: int = 2000, sent: int = SENT) -> DataFrame:
     """The k best items per query, of a stated query set against all items, block by block.
 
-    items has an id; blocks has payload, one row per block of queries. `scorer` opens a payload and
-    gives the query ids and a function from a batch of items to scores and to what may be ranked.
+    items has an id, by which every partition is in order for Postings; blocks has payload, one row per block of
+    queries. `ranker` opens a payload: add() takes a batch of items, rows() gives the best of all.
     Blocks of `sent` bytes in all are broadcast, and items are scored where they are read. Larger
     query sets are dealt to groups of blocks of that size; groups of items meet groups of blocks by
     an equal key, so a task never holds more than one of each."""
@@ -134,15 +321,12 @@ def in_blocks(items: DataFrame, blocks: DataFrame, scorer: Scorer, qkind: str, k
     schema = f"query_id {qkind}, id {items.schema['id'].dataType.simpleString()}, score double"
 
     def best(batches: Iterator[pa.RecordBatch], payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        opened = [scorer(p) for p in payloads]
-        kept = [Best(names, k) for names, _ in opened]
-        for batch in batches:
-            for at in range(0, batch.num_rows, width):
-                part = batch.slice(at, width)
-                ids = part.column("id").to_pandas().to_numpy()
-                for (_, score), b in zip(opened, kept):
-                    b.add(ids, *score(part))
-        yield from (rows for b in kept if (rows := b.rows()) is not None)
+        kept = [ranker(p) for p in payloads]
+        for part in batched(batches, width):
+            for b in kept:
+                b.add(part)
+        for b in kept:
+            yield from b.rows()
 
     size = blocks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("bytes")).first()
     if not size["n"]:
@@ -156,7 +340,7 @@ def in_blocks(items: DataFrame, blocks: DataFrame, scorer: Scorer, qkind: str, k
     right = blocks.select("payload", F.pmod(F.xxhash64("payload"), F.lit(groups)).cast("int").alias("grp")).withColumn("part", every(parts))
 
     def met(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        got = list(best(iter(mine.to_batches()), theirs.column("payload").to_pylist()))
+        got = list(best(iter(mine.sort_by("id").to_batches()), theirs.column("payload").to_pylist()))
         return pa.Table.from_batches(got) if got else empty.to_table()
 
     empty = _Empty(qkind, items.schema["id"].dataType.simpleString())
@@ -182,61 +366,42 @@ def _payloads(rows: DataFrame, pack: Callable[[pd.DataFrame], bytes], block: int
     return cut(dealt.groupBy("block").applyInPandas(lambda pdf: pd.DataFrame({"payload": [pack(pdf)]}), "payload binary"))
 
 
-def bm25_blocks(terms: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, heavy: int = 512, width: int = 2000, allow: DataFrame | None = None, block: int = BLOCK, sent: int = SENT) -> DataFrame:
+WIDE = 65_536  # queries of a block of bm25_blocks
+
+
+def bm25_blocks(terms: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, heavy: int = 512, width: int = 16_384, allow: DataFrame | None = None, block: int = WIDE, sent: int = SENT) -> DataFrame:
     """The ranking of bm25 without a row per pair of query and document that share a word.
 
     Documents are tokenised once, into a column kept for two passes: document frequencies, and
-    scores. `width` documents at a time are scored against a block of queries, by a product of
-    matrices for the `heavy` words of the block that most documents have and posting by posting for
-    the rest. `allow` (id) restricts what is ranked, never the statistics."""
-    asked = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
-    qkind = queries.schema["query_id"].dataType.simpleString()
+    scores. Queries of the same words are one. `width` documents at a time meet a block of queries
+    (see Postings); the `heavy` most frequent words of a block have a place for every document there.
+    `allow` (id) restricts what is ranked, never the statistics."""
+    each = queries.where("query_id is not null").select("query_id", tokens(F.col("text")).alias("tk")).groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tk")))).alias("words"))
+    asked = cut(each.where(F.size("words") > 0))
+    first = cut(asked.groupBy("words").agg(F.min("query_id").alias("query_id")))  # stands for all queries of these words
+    qkind, ikind = queries.schema["query_id"].dataType.simpleString(), terms.schema["id"].dataType.simpleString()
     said = terms.select("id", "dl", F.array_join("tk", " ").alias("said")).persist(StorageLevel.MEMORY_AND_DISK)
     # One pass for df and the corpus: the empty word, which no text has, stands once in every document.
     counted = cut(said.select("dl", F.explode(F.array_append(F.filter(F.array_distinct(F.split("said", " ")), lambda w: w != ""), F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length")))
     corpus = counted.where("term = ''").first()
     if corpus is None or not corpus["length"]:
-        return top(terms.sparkSession.createDataFrame([], f"query_id {qkind}, id {terms.schema['id'].dataType.simpleString()}, score double"), k)
+        return top(terms.sparkSession.createDataFrame([], f"query_id {qkind}, id {ikind}, score double"), k)
     n, avgdl = corpus["df"], corpus["length"] / corpus["df"]
 
     def pack(pdf: pd.DataFrame) -> bytes:
         words = pdf[["term", "df"]].drop_duplicates().sort_values(["df", "term"], ascending=[False, True])
-        names = pdf["query_id"].drop_duplicates().tolist()
-        q = pdf["query_id"].map({x: j for j, x in enumerate(names)}).to_numpy(np.int32)
+        q, names = pd.factorize(pdf["query_id"])
         t = pdf["term"].map({x: j for j, x in enumerate(words["term"])}).to_numpy(np.int32)
-        return pickle.dumps((names, words["term"].tolist(), words["df"].to_numpy(float), q, t))
-
-    def scorer(payload: bytes) -> tuple[list, Callable]:
-        names, words, df, q, t = pickle.loads(payload)
-        weight, dense = np.log(1 + (n - df + 0.5) / (df + 0.5)), min(heavy, len(words))
-        asks = np.zeros((len(names), dense))
-        asks[q[t < dense], t[t < dense]] = 1
-        order = np.argsort(t, kind="stable")
-        of = np.split(q[order], np.searchsorted(t[order], np.arange(1, len(words))))  # the queries of every word
-        vocabulary = pa.array(words, pa.string())
-
-        def score(docs: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            size, dl = docs.num_rows, docs.column("dl").to_numpy(zero_copy_only=False)
-            split = pc.split_pattern(docs.column("said"), " ")
-            word = pc.fill_null(pc.index_in(split.flatten(), value_set=vocabulary), -1).to_numpy().astype(np.int64)
-            key, tf = np.unique((np.repeat(np.arange(size), np.diff(split.offsets.to_numpy())) + size * word)[word >= 0], return_counts=True)
-            x, d = np.divmod(key, size)
-            w = weight[x] * tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl[d] / avgdl))
-            cutoff = np.searchsorted(x, dense)
-            matrix = np.zeros((dense, size))
-            matrix[x[:cutoff], d[:cutoff]] = w[:cutoff]
-            total = asks @ matrix
-            light, start = np.unique(x[cutoff:], return_index=True)
-            for y, lo, hi in zip(light.tolist(), start + cutoff, np.append(start[1:] + cutoff, len(x))):
-                total[np.ix_(of[y], d[lo:hi])] += w[lo:hi]
-            return total, total > 0
-
-        return names, score
+        df = words["df"].to_numpy(float)
+        return pickle.dumps(asked_block(names.tolist(), words["term"].tolist(), np.log(1 + (n - df + 0.5) / (df + 0.5)), q, t, heavy))
 
     ranked = said if allow is None else said.join(allow.select("id").distinct(), "id", "left_semi")
-    found = cut(in_blocks(ranked, _payloads(asked.join(counted.select("term", "df"), "term"), pack, block), scorer, qkind, k, width, sent))
+    cores = terms.sparkSession.sparkContext.defaultParallelism
+    ranked = ranked.repartition(max(1, min(-(-n // 2048), max(2 * cores, -(-n // 200_000)))), "id").sortWithinPartitions("id")  # every task searches all queries, whatever its bytes
+    rows = first.select("query_id", F.explode("words").alias("term")).join(counted.select("term", "df"), "term")
+    found = cut(in_blocks(ranked, _payloads(rows, pack, block), lambda p: Postings(pickle.loads(p), k, k1, b, avgdl, heavy), qkind, k, width, sent))
     said.unpersist()
-    return found
+    return asked.join(first.withColumnRenamed("query_id", "first"), "words").select("query_id", "first").join(found.withColumnRenamed("query_id", "first"), "first").select("query_id", "id", "score", "rank")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, block: int = BLOCK, sent: int = SENT) -> DataFrame:
@@ -248,18 +413,12 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int
     def pack(pdf: pd.DataFrame) -> bytes:
         return pickle.dumps((pdf["query_id"].tolist(), np.array(pdf["q"].tolist(), np.float64)))
 
-    def scorer(payload: bytes) -> tuple[list, Callable]:
+    def ranker(payload: bytes) -> Best:
         names, q = pickle.loads(payload)
-
-        def score(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            v = rows.column("v").flatten().to_numpy().astype(np.float64).reshape(rows.num_rows, -1)
-            s = q @ v.T
-            return s, np.ones(s.shape, bool)
-
-        return names, score
+        return Best(names, lambda rows: q @ rows.column("v").flatten().to_numpy().astype(np.float64).reshape(rows.num_rows, -1).T, k)
 
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    return in_blocks(rows, _payloads(asked, pack, block), scorer, queries.schema["query_id"].dataType.simpleString(), k, sent=sent)
+    return in_blocks(rows, _payloads(asked, pack, block), ranker, queries.schema["query_id"].dataType.simpleString(), k, sent=sent)
 
 
 def fuse(arms: list[tuple[DataFrame, float]], k: int = 10, rrf_k: int = RRF_K) -> DataFrame:

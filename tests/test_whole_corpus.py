@@ -55,3 +55,43 @@ def test_blocks_rank_as_the_join_does(spark):
     for heavy, width in ((512, 2000), (5, 11), (0, 40)):
         assert rows(R.bm25_blocks(terms, asked, 7, heavy=heavy, width=width)) == want
     assert rows(R.bm25_blocks(terms.where("id < 0"), asked)) == [] == rows(R.bm25_blocks(terms, asked.where("query_id < 0")))
+
+
+def test_few_pairs_are_scored_exactly():
+    """Ranking a block works out few scores, and gives those of scoring every pair; ties go to the first id."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    docs = [" ".join(rng.choice(words, rng.integers(5, 60))) for _ in range(5000)]
+    docs = docs[:4000] + docs[:1000]  # each of these ties with its copy
+    asked = [np.unique(rng.choice(60, 8)) for _ in range(40)] + [np.array([3]), np.array([3, 7])]
+    df = np.array([sum(w in d for d in (set(x.split()) for x in docs)) for w in words], float)
+    weight = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+    dl = np.array([len(d.split()) for d in docs])
+    tf = np.array([[d.split().count(w) for w in words] for d in docs])
+    w = weight * tf * 2.5 / (tf + (1.5 * (0.25 + 0.75 * dl / dl.mean()))[:, None])
+    q, t = np.repeat(np.arange(len(asked)), [len(a) for a in asked]), np.concatenate(asked)
+    for heavy in (512, 20):
+        block = R.asked_block(list(range(len(asked))), words, weight, q, t, heavy)
+        ranking, scored = R.Postings(block, 10, 1.5, 0.75, dl.mean(), heavy), 0
+        keep = ranking._keep
+
+        def counted(at_q, at_d, scores):
+            nonlocal scored
+            scored += sum(map(len, at_d))
+            keep(at_q, at_d, scores)
+
+        ranking._keep = counted
+        items = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(dl), pa.array(docs)], ["id", "dl", "said"])
+        for part in R.batched(iter([items.slice(0, 700), items.slice(700)]), 2000):
+            ranking.add(part)
+        got = {}
+        for b in ranking.rows():
+            for x, i, s in zip(*(c.to_pylist() for c in b.columns)):
+                got.setdefault(x, []).append((round(s, 9), i))
+        for x, terms in enumerate(asked):
+            s = np.round(w[:, terms].sum(axis=1), 9)
+            assert sorted(i for _, i in got[x]) == sorted(np.lexsort((np.arange(len(s)), -s))[:10].tolist())
+        assert scored < 0.02 * len(docs) * len(asked)
