@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import runs as N
 from ..session import scratch
 from ..sources import jsonl, sheet, store
 from ..sources.parquet import table
 from .evaluation import _A, _G, _golden
 from .retrieval import _CORPUS, _terms
-from .runs import _AGG_SQL, _judged
+from .runs import _AGG_SQL, _measured
 
 MODEL = "given-64"
 
@@ -117,7 +116,7 @@ def replies_replayed(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
     """The aggregates of both runs, appended to a log run by run and read again."""
-    rows = N.aggregates(_judged(spark, sf)).select("run_id", "slice", "name", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg"), "n_items", "errors")
+    rows = _measured(spark, sf).select("run_id", "slice", "name", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg"), "n_items", "errors")
     path = scratch(spark, "log")
     jsonl.append_log(rows.where("slice = 'all'"), path)
     jsonl.append_log(rows.where("slice <> 'all'"), path)

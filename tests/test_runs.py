@@ -135,3 +135,12 @@ def test_floors_retrieve_nothing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(R, "bm25_blocks", lambda *a, **k: pytest.fail("questions were ranked"))
     got = {r["run_id"]: r for r in answering.floor_aggregate(spark, str(tmp_path)).collect()}
     assert (got["null"]["n_items"], got["null"]["recall"], got["null"]["abstain_recall"], got["echo"]["unsupported_answer_rate"], got["echo"]["expected_cost"]) == (2, 0.0, 1.0, 1.0, 50)
+
+
+def test_results_are_judged_once(spark, monkeypatch):
+    from clausewright.plans import runs
+
+    monkeypatch.setattr(runs, "_judged", lambda s, sf: judged(s, ROWS).withColumn("rows_read", F.monotonically_increasing_id()))
+    got = runs._measured(spark, "")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # a checkpoint, which no user plans anew
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, N.aggregates(judged(spark, ROWS)).collect()))
